@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: name -> (module, function)
 _QUERIES = {
+    "op6_token_file": ("docloom.llm.token_file", "op6_token_file"),
     "op7_sentencepiece": ("docloom.llm.piece_codec", "op7_sentencepiece"),
+    "op9_quartile_digest": ("docloom.llm.quartile_digest", "op9_quartile_digest"),
 }
 
 
