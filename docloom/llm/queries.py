@@ -12,6 +12,7 @@ _QUERIES = {
     "op2_simhash": ("docloom.llm.simhash_index", "op2_simhash"),
     "op6_token_file": ("docloom.llm.token_file", "op6_token_file"),
     "op7_sentencepiece": ("docloom.llm.piece_codec", "op7_sentencepiece"),
+    "op8_language_id": ("docloom.llm.language_id", "op8_language_id"),
     "op9_quartile_digest": ("docloom.llm.quartile_digest", "op9_quartile_digest"),
     "op10_toxicity": ("docloom.llm.toxicity", "op10_toxicity"),
 }
