@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: name -> (module, function)
 _QUERIES = {
+    "op1_additive_ann": ("docloom.llm.additive_ann", "op1_additive_ann"),
     "op2_simhash": ("docloom.llm.simhash_index", "op2_simhash"),
     "op6_token_file": ("docloom.llm.token_file", "op6_token_file"),
     "op7_sentencepiece": ("docloom.llm.piece_codec", "op7_sentencepiece"),
