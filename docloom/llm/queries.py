@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES = {
     "op1_additive_ann": ("docloom.llm.additive_ann", "op1_additive_ann"),
     "op2_simhash": ("docloom.llm.simhash_index", "op2_simhash"),
+    "op3_line_dedup": ("docloom.llm.line_dedup", "op3_line_dedup"),
     "op5_mixing": ("docloom.llm.mixing", "op5_mixing"),
     "op6_token_file": ("docloom.llm.token_file", "op6_token_file"),
     "op7_sentencepiece": ("docloom.llm.piece_codec", "op7_sentencepiece"),
