@@ -237,12 +237,13 @@ def _slices(batch: pa.RecordBatch, column: str, chars: int = 1_000_000):
         yield at, len(texts), texts[at:]
 
 
-def encode_column(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df's columns and ids: array<int>, begin and end ids with it."""
+def encode_column(df: DataFrame, model: str, text: str = "text", ids: str = "ids", same: str | None = None, drop_text: bool = False) -> DataFrame:
+    """df's columns and ids: array<int>, begin and end ids with it; with `same`, a column of that name tells whether decoding gives the text."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != ids), T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    kept = [f.name for f in df.schema.fields if f.name != ids]
+    fields = [f for f in df.schema.fields if f.name not in (ids, same) and not (drop_text and f.name == text)]
+    kept = [f.name for f in fields]
+    schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(same, T.BooleanType())] if same else [])])
 
     def run(batches):
         c = codec(model)
@@ -251,8 +252,10 @@ def encode_column(df: DataFrame, model: str, text: str = "text", ids: str = "ids
                 out = c.encode([t or "" for t in texts])
                 lens = np.array([len(x) // 4 for x in out], "i4")
                 flat = pa.array(np.frombuffer(b"".join(out), "<i4"))
-                col = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype("i4")), flat)
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, hi - lo) for k in kept), col], names=[*kept, ids])
+                cols = [*(b.column(k).slice(lo, hi - lo) for k in kept), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype("i4")), flat)]
+                if same:
+                    cols.append(pa.array([x == (t or "") for x, t in zip(c.decode(out), texts, strict=True)]))
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return df.mapInArrow(run, schema)
 

@@ -12,11 +12,13 @@ _QUERIES = {
     "op1_additive_ann": ("docloom.llm.additive_ann", "op1_additive_ann"),
     "op2_simhash": ("docloom.llm.simhash_index", "op2_simhash"),
     "op3_line_dedup": ("docloom.llm.line_dedup", "op3_line_dedup"),
+    "op4_lm_automaton": ("docloom.llm.lm_automaton", "op4_lm_automaton"),
     "op5_mixing": ("docloom.llm.mixing", "op5_mixing"),
     "op6_token_file": ("docloom.llm.token_file", "op6_token_file"),
     "op7_sentencepiece": ("docloom.llm.piece_codec", "op7_sentencepiece"),
     "op8_language_id": ("docloom.llm.language_id", "op8_language_id"),
     "op9_quartile_digest": ("docloom.llm.quartile_digest", "op9_quartile_digest"),
+    "pipeline": ("corpus_pipeline", "run"),
     "op10_toxicity": ("docloom.llm.toxicity", "op10_toxicity"),
 }
 

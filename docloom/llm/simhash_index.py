@@ -21,7 +21,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,14 +209,26 @@ def near_links(fps: DataFrame, limit: int = 4, most: int = 20_000) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_components(docs: DataFrame, words: int = 5, limit: int = 4, text: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the component) for every row."""
-    own = checkpointed(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), words, text))
+def near_components(docs: DataFrame, words: int = 5, limit: int = 4, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep's columns, fp, component_id (the smallest doc_id of the component) and root (its key) for every row."""
+    own = checkpointed(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text), words, text, ("doc_id", *keep)))
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     stars = components(near_links(distinct.select("fp"), limit))
     placed = distinct.join(stars.select(F.col("key").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id", "root")
+    return own.join(named, "fp").select("doc_id", *keep, "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, limit: int = 4, text: str = "text") -> DataFrame:
+    """docs' rows that stay: of each component the row with the smallest doc_id (null last), then the smallest hash of its text."""
+    hashed = docs.withColumn("_t", F.xxhash64(text))
+    found = near_components(hashed, words, limit, text, ("_t",))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("_t").alias("t"))
+    stay = found.groupBy("root").agg(F.min(order).alias("s")).select(F.when(~F.col("s.n"), F.col("s.d")).alias("_d"), F.col("s.t").alias("_h"))
+    kept = hashed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_semi")
+    # rows that repeat doc_id and text
+    first = F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("_t"))
+    return kept.withColumn("_n", first).where("_n = 1").select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
