@@ -32,5 +32,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return out
 
 
+#: The same windows over whole lines: one that begins, and one that ends, at every line that has words.
+_OP3 = r"""
+WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS p, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+s AS (SELECT doc_id, p, line, w, sum(w) OVER (PARTITION BY doc_id ORDER BY p) AS e FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l) WHERE w > 0),
+f AS (SELECT doc_id, p AS first, max(p) OVER a AS last, list(line) OVER a AS ls, max(e) OVER a - (e - w) AS n FROM s WINDOW a AS (PARTITION BY doc_id ORDER BY e - w RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+b AS (SELECT doc_id, min(p) OVER a AS first, p AS last, list(line) OVER a AS ls, e - min(e - w) OVER a AS n FROM s WINDOW a AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+u AS (SELECT doc_id, first, last, array_to_string(ls, chr(10)) AS k FROM f WHERE n >= 50 UNION SELECT doc_id, first, last, array_to_string(ls, chr(10)) FROM b WHERE n >= 50),
+m AS (SELECT *, min(doc_id) OVER (PARTITION BY k) AS d0, min(first) OVER (PARTITION BY k, doc_id) AS f0 FROM u),
+dead AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS p FROM m WHERE doc_id > d0 OR first > f0)
+SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(dead.p)::BIGINT AS n_deleted, sha256(coalesce(string_agg(CASE WHEN dead.p IS NULL THEN line END, chr(10) ORDER BY l.p), '')) AS kept_sha256
+FROM l LEFT JOIN dead ON l.doc_id = dead.doc_id AND l.p = dead.p GROUP BY l.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": _OP3}
