@@ -57,6 +57,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     return rows.withColumn("open", level).select("source", "source_size", "weight", F.when(F.col("capped"), F.col("most")).otherwise(F.col("open") * F.col("weight")).cast("double").alias("target"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A table of at most BLOCKS * TRIES rows a source, checkpointed in few files."""
+    return checkpointed(df.coalesce(4))
+
+
 def blocked(docs: DataFrame, seed: int) -> DataFrame:
     """docs with block: the document's, in its source."""
     return docs.withColumn("block", F.pmod(_hash(seed, "doc_id"), F.lit(BLOCKS)).cast("int"))
@@ -86,23 +91,23 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     ended = own.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).withColumn("h", _hash(seed + 2, "turn", "doc_id"))
     running = Window.partitionBy("s", "b", "turn").orderBy("h", "doc_id", "size").rowsBetween(*_WHOLE)
     ended = ended.withColumn("so_far", F.sum("size").over(running)).withColumn("in_rest", F.col("so_far") - F.col("size") / 2 <= F.col("within"))
-    upto = checkpointed(ended.groupBy("s", "b", "turn", "within").agg(F.max(F.when(F.col("in_rest"), F.col("h"))).alias("upto"), F.sum(F.when(F.col("in_rest"), F.col("size")).otherwise(0)).alias("got")))
+    upto = _small(ended.groupBy("s", "b", "turn", "within").agg(F.max(F.when(F.col("in_rest"), F.col("h"))).alias("upto"), F.sum(F.when(F.col("in_rest"), F.col("size")).otherwise(0)).alias("got")))
     off = upto.select("s", F.struct(F.abs(F.col("got") - F.col("within")).alias("off"), "turn").alias("best"))
     best = off.groupBy("s").agg(F.min("best")["turn"].alias("chosen")).withColumnRenamed("s", "c")
     dealt = dealt.join(best, F.col("source").eqNullSafe(F.col("c")), "left").where(F.col("turn") == F.coalesce("chosen", F.lit(0))).drop("c", "chosen")
-    dealt = checkpointed(dealt.withColumn("draws", F.when(F.col("words") > 0, F.col("passes") + (F.col("within") > 0).cast("long")).otherwise(0).cast("long")))
+    dealt = _small(dealt.withColumn("draws", F.when(F.col("words") > 0, F.col("passes") + (F.col("within") > 0).cast("long")).otherwise(0).cast("long")))
     # the shard of every draw; a source's sequence is its permuted blocks, pass after pass
     none = F.array().cast("array<bigint>")
     each = dealt.select("source", "block", F.explode(F.when(F.col("draws") > 0, F.sequence(F.lit(0).cast("long"), F.col("draws") - 1)).otherwise(none)).alias("copy"), "n_blocks", "nth")
     each = each.withColumn("draw", F.col("copy") * F.col("n_blocks") + F.col("nth"))
-    cuts = checkpointed(splits(dealt, shards, seed)).where(F.col("count") > 0).withColumnRenamed("source", "s")
+    cuts = _small(splits(dealt, shards, seed)).where(F.col("count") > 0).withColumnRenamed("source", "s")
     placed = each.join(cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("draw") >= F.col("first")) & (F.col("draw") < F.col("first") + F.col("count")))
     placed = placed.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("shards"))
     keyed = dealt.select("source", "block", "source_size", "target", "passes", "within", "words", "turn")
     upto, placed = upto.select(F.col("s").alias("us"), F.col("b").alias("ub"), F.col("turn").alias("ut"), "upto"), placed.select(F.col("source").alias("ps"), F.col("block").alias("pb"), "shards")
     keyed = keyed.join(upto, F.col("source").eqNullSafe(F.col("us")) & (F.col("block") == F.col("ub")) & (F.col("turn") == F.col("ut")), "left").drop("us", "ub", "ut")
     keyed = keyed.join(placed, F.col("source").eqNullSafe(F.col("ps")) & (F.col("block") == F.col("pb")), "left").drop("ps", "pb")
-    return own, checkpointed(keyed)
+    return own, _small(keyed)
 
 
 def placed(rows: DataFrame, blocks: DataFrame, seed: int, most: int = 100_000) -> DataFrame:
