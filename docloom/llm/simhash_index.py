@@ -10,6 +10,9 @@ leading band of bits, and are the shuffle's key. Two fingerprints that differ in
 below one top node of some rotation: no link is lost. Top nodes with more than `most` fingerprints are cut into salted blocks that meet
 pairwise. A task hands on a spanning forest of its links, not the links themselves.
 
+For a similarity of 0.8 over shingles, as a near-duplicate stage needs it, 64 bits and 4 differences are too few: similar_links() indexes 256-bit
+fingerprints in the same way, through more turns of the bits.
+
 Defined cases: null text counts as empty; texts without words have fingerprint zero and link like others; rows with equal text share a
 fingerprint; rows that repeat a doc_id are one document if their texts are equal, else each has its own fingerprint; a null doc_id takes
 part and gives its component the null id only if nothing else is in it; an empty table gives an empty result; extra columns are ignored.
@@ -17,6 +20,7 @@ part and gives its component the null id only if nothing else is in it; an empty
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
@@ -31,35 +35,46 @@ from docloom.llm.components import components
 FAN = 8
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """Of a whole text. Shingles are hashed 64k at a time."""
+def prints(text: str | None, words: int = 4, count: int = 1) -> np.ndarray:
+    """The fingerprint of a whole text: `count` 64-bit words; the first from the shingles' XXH64, each further one from a mix of it. Shingles
+    are hashed 16k at a time."""
     import xxhash
 
     hashed = xxhash.xxh64_intdigest
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
-    if len(tokens) <= words:
-        return hashed(b" ".join(tokens), 42)
+        return np.zeros(count, np.uint64)
     line = b" ".join(tokens)
     ends = list(accumulate([len(t) + 1 for t in tokens]))
-    starts = [0, *ends[: -words]]
+    starts, ends = [0, *ends[:-words]] if len(tokens) > words else [0], ends[words - 1 :] or ends[-1:]
     n = len(starts)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):
-        h = np.fromiter((hashed(line[s : e - 1], 42) for s, e in zip(starts[at : at + 65_536], ends[words - 1 + at : words - 1 + at + 65_536], strict=True)), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    ones = np.zeros(64 * count, np.int64)
+    for at in range(0, n, 16_384):
+        h = np.fromiter((hashed(line[s : e - 1], 42) for s, e in zip(starts[at : at + 16_384], ends[at : at + 16_384], strict=True)), np.uint64)
+        every = np.stack([h, *(_mixed(h, j) for j in range(1, count))], axis=1)
+        ones += np.unpackbits(every.view(np.uint8).reshape(-1, 8 * count), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)
+
 
+def _mixed(h: np.ndarray, j: int) -> np.ndarray:
+    x = h + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
-def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep's columns and fp: the fingerprint as a signed long."""
-    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("fp", T.LongType())])
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    return int(prints(text, words)[0])
+
+
+def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """keep's columns and the fingerprint's words as signed longs, one column a name."""
+    schema = T.StructType([*(docs.schema[k] for k in keep), *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(text).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(fps)], names=schema.names)
+            found = np.array([prints(t, words, len(names)) for t in b.column(text).to_pylist()], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(found[:, i]) for i in range(len(names)))], names=schema.names)
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 
@@ -72,8 +87,13 @@ def gray_rank(bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rotate(bits: np.ndarray, by: int) -> np.ndarray:
-    return bits << np.uint64(by) | bits >> np.uint64(64 - by) if by else bits
+def gray_order(fps: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Rows by group and Gray rank of all words: an odd number of bits before a word turns its order round."""
+    ranks, turned = [], np.zeros(len(fps), np.uint64)
+    for w in fps.T:
+        ranks.append(gray_rank(w) ^ turned)
+        turned = np.where(ranks[-1] & np.uint64(1), ~np.uint64(0), np.uint64(0))
+    return np.lexsort((*ranks[::-1], group))
 
 
 class _Level:
@@ -98,44 +118,50 @@ def _tree(fps: np.ndarray, group: np.ndarray) -> list[_Level]:
             return levels
         first = np.flatnonzero(place % FAN == 0)
         levels.append(
-            _Level(np.bitwise_and.reduceat(low.ones, first), np.bitwise_or.reduceat(low.zeros, first), low.leaf[first], np.add.reduceat(low.leaves, first), first, np.diff(np.r_[first, m]), low.group[first])
+            _Level(np.bitwise_and.reduceat(low.ones, first, axis=0), np.bitwise_or.reduceat(low.zeros, first, axis=0), low.leaf[first], np.add.reduceat(low.leaves, first), first, np.diff(np.r_[first, m]), low.group[first])
         )
 
 
-def links(fps: np.ndarray, group: np.ndarray, limit: int, slice_rows: int = 16_384) -> np.ndarray:
-    """A spanning forest's root for each fingerprint, over the links of at most `limit` bits within a group. Sorted as _tree() needs them."""
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+
+
+def links(fps: np.ndarray, group: np.ndarray, limit: int, budget: int = 4_000_000) -> np.ndarray:
+    """A spanning forest's root for each fingerprint (a row of one or more words), over the links of at most `limit` bits within a group. Rows
+    are in gray_order(). Fingerprints search together as long as their groups' sizes add up to `budget`, which bounds the memory."""
     n = len(fps)
     root = np.arange(n)
     if n < 2:
         return root
     levels = _tree(fps, group)
     for lv in levels[1:]:  # all of a group that can't differ in more bits are one
-        whole = np.bitwise_count(~lv.mask) <= limit
+        whole = _bits(~lv.mask) <= limit
         if whole.any():
             a = np.repeat(lv.leaf[whole], lv.leaves[whole])
             b = a + _within(lv.leaves[whole])
             root = _join(root, a, b)
     top = levels[-1]
     tops = np.searchsorted(top.group, group)
-    for lo in range(0, n, slice_rows):
-        q = np.arange(lo, min(lo + slice_rows, n))
-        node, known = tops[q], np.zeros(len(q), np.uint64)
+    cost = np.cumsum(top.leaves[tops])
+    cuts = np.unique(np.r_[0, np.searchsorted(cost, np.arange(budget, int(cost[-1]), budget), side="right"), n])
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        q = np.arange(lo, hi)
+        node, known = tops[q], np.zeros((len(q), fps.shape[1]), np.uint64)
         spent = np.zeros(len(q), np.int64)
         for lv in reversed(levels):
             fresh = lv.mask[node] & ~known
-            spent = spent + np.bitwise_count((fps[q] ^ lv.ones[node]) & fresh)
+            spent = spent + _bits((fps[q] ^ lv.ones[node]) & fresh)
             stay = (spent <= limit) & (lv.leaf[node] + lv.leaves[node] > q + 1)
             q, node, spent = q[stay], node[stay], spent[stay]
-            free = np.bitwise_count(~lv.mask[node])
-            taken = spent + free <= limit
+            taken = spent + _bits(~lv.mask[node]) <= limit
             if taken.any():
-                # the group's leaves are one already if its free bits are few enough, which they are here
+                # the group's leaves are one already: its free bits are few enough
                 root = _join(root, q[taken], lv.leaf[node[taken]])
                 q, node, spent = q[~taken], node[~taken], spent[~taken]
             if lv is levels[0] or not len(q):
                 break
             many = lv.children[node]
-            known = np.repeat(lv.mask[node], many)
+            known = np.repeat(lv.mask[node], many, axis=0)
             child = np.repeat(lv.child[node], many) + _within(many)
             q, node, spent = np.repeat(q, many), child, np.repeat(spent, many)
     return root
@@ -163,42 +189,59 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def near_links(fps: DataFrame, limit: int = 4, most: int = 20_000) -> DataFrame:
     """fps: fp (long, distinct). Links (a, b) with the same components as all pairs of at most `limit` different bits."""
-    spark = fps.sparkSession
     bands = limit + 1
     width = 64 // bands
-    starts = [i * width for i in range(bands)]
-    band = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << (width if i < bands - 1 else 64 - s)) - 1)) for i, s in enumerate(starts)]
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), b.alias("top")) for i, b in enumerate(band)])).alias("k")).select("fp", "k.turn", "k.top")
+    tops = [F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << (width if i < limit else 64 - i * width)) - 1)) for i in range(bands)]
+    turns = [(64 - (i + 1) * width) % 64 if i < limit else 0 for i in range(bands)]  # brings the band to the front
+    return _linked_below(fps.select(F.col("fp").alias("id"), "fp"), ("fp",), tops, turns, limit, most)
+
+
+def similar_links(fps: DataFrame, names: tuple[str, ...], limit: int, turns: int = 21, least_width: int = 12, most: int = 20_000) -> DataFrame:
+    """fps: id, and the words of distinct fingerprints. Links (a, b) of ids of at most `limit` different bits, found through `turns` turns of the
+    bits; a top node shares its turn's leading bits, as many as leave about 64 fingerprints to a node, `least_width` at least. Of pairs that
+    differ in a share d of the bits, 1 - (1 - (1 - d) ** width) ** turns are found."""
+    width = max(least_width, int(max(fps.count(), 1) / 64).bit_length())
+    tops = []
+    for i in range(turns):
+        word, off = divmod(i * 64 * len(names) // turns, 64)
+        bits = F.shiftrightunsigned(names[word], off)
+        if off + width > 64:
+            bits = bits.bitwiseOR(F.shiftleft(names[(word + 1) % len(names)], 64 - off))
+        tops.append(bits.bitwiseAND(F.lit((1 << width) - 1)))
+    return _linked_below(fps, names, tops, [0] * turns, limit, most)
+
+
+def _linked_below(fps: DataFrame, names: tuple[str, ...], tops: list, turns: list[int], limit: int, most: int) -> DataFrame:
+    """Links (a, b) of ids between fingerprints of at most `limit` different bits that share a top node of some turn."""
+    spark = fps.sparkSession
+    keyed = fps.select("id", *names, F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), t.alias("top")) for i, t in enumerate(tops)])).alias("k")).select("id", *names, "k.turn", "k.top")
     sizes = keyed.groupBy("turn", "top").agg(F.count("*").alias("n")).where(F.col("n") > most).withColumn("salts", F.ceil(F.col("n") / (most / 2)).cast("int")).drop("n")
     # rows of a large top node go to every pair of blocks that their own block is in
-    own = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
     salted = keyed.join(sizes, ["turn", "top"], "left").withColumn(
         "blocks", F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda j: F.least(own, j) * F.col("salts") + F.greatest(own, j)))
     )
-    dealt = salted.select("turn", "top", F.explode("blocks").alias("block"), "fp").repartition(parts(spark), "turn", "top", "block").sortWithinPartitions("turn", "top", "block")
+    columns = ("turn", "top", "block", "id", *names)
+    dealt = salted.select("id", *names, "turn", "top", F.explode("blocks").alias("block")).select(*columns).repartition(parts(spark), "turn", "top", "block").sortWithinPartitions("turn", "top", "block")
 
     def run(batches):
-        held: list[np.ndarray] = []
-        have = 0
-
         def flush(rows, last):
-            turn, top, block, fp = rows
+            turn, top, block, ids = rows[:4]
             new = np.r_[True, (turn[1:] != turn[:-1]) | (top[1:] != top[:-1]) | (block[1:] != block[:-1])]
-            cut = len(fp) if last else int(np.flatnonzero(new)[-1])
+            cut = len(ids) if last else int(np.flatnonzero(new)[-1])
             group = np.cumsum(new)[:cut]
-            bits = fp[:cut].view(np.uint64)
-            by = np.array([(64 - starts[t + 1]) % 64 if t + 1 < bands else 0 for t in range(bands)])[turn[:cut]]
-            turned = bits << by.astype(np.uint64) | np.where(by > 0, bits >> ((64 - by) % 64).astype(np.uint64), np.uint64(0))
-            order = np.lexsort((gray_rank(turned), group))
-            bits, group = bits[order], group[order]
-            root = links(bits, group, limit)
+            bits = np.stack([x[:cut] for x in rows[4:]], axis=1).view(np.uint64)
+            by = np.array(turns, np.uint64)[turn[:cut]][:, None]
+            turned = np.where(by > 0, bits << by | bits >> (np.uint64(64) - by) % np.uint64(64), bits)
+            order = gray_order(turned, group)
+            ids = ids[:cut][order]
+            root = links(bits[order], group[order], limit)
             apart = np.flatnonzero(root != np.arange(cut))
-            out = pa.RecordBatch.from_arrays([pa.array(bits[apart].view(np.int64)), pa.array(bits[root[apart]].view(np.int64))], names=["a", "b"])
-            return out, tuple(x[cut:] for x in rows)
+            return pa.RecordBatch.from_arrays([pa.array(ids[apart]), pa.array(ids[root[apart]])], names=["a", "b"]), tuple(x[cut:] for x in rows)
 
         rest = None
         for b in batches:
-            now = tuple(b.column(k).to_numpy() for k in ("turn", "top", "block", "fp"))
+            now = tuple(b.column(k).to_numpy() for k in columns)
             rest = now if rest is None else tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
             if len(rest[0]) >= 200_000:
                 out, rest = flush(rest, False)
@@ -219,10 +262,28 @@ def near_components(docs: DataFrame, words: int = 5, limit: int = 4, text: str =
     return own.join(named, "fp").select("doc_id", *keep, "fp", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, limit: int = 4, text: str = "text") -> DataFrame:
+def bits_of_similarity(similarity: float, bits: int) -> int:
+    """Different bits of SimHashes of two shingle sets with this Jaccard similarity: the expected number and half its standard deviation."""
+    d = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * d + 0.5 * math.sqrt(bits * d * (1 - d)))
+
+
+WIDE = ("w0", "w1", "w2", "w3")
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep's columns, and root: equal for documents of one component of links of at least this similarity, as 256-bit fingerprints
+    tell it (64 bits are too few to tell 0.8 from less)."""
+    own = checkpointed(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text), words, text, ("doc_id", *keep), WIDE).withColumn("id", F.xxhash64(*WIDE)))
+    distinct = checkpointed(own.select("id", *WIDE).dropDuplicates(["id"]))
+    stars = components(similar_links(distinct, WIDE, bits_of_similarity(similarity, 256))).select(F.col("key").alias("id"), "root")
+    return own.join(stars, "id", "left").select("doc_id", *keep, F.coalesce("root", "id").alias("root"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """docs' rows that stay: of each component the row with the smallest doc_id (null last), then the smallest hash of its text."""
     hashed = docs.withColumn("_t", F.xxhash64(text))
-    found = near_components(hashed, words, limit, text, ("_t",))
+    found = similar_components(hashed, words, similarity, text, ("_t",))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("_t").alias("t"))
     stay = found.groupBy("root").agg(F.min(order).alias("s")).select(F.when(~F.col("s.n"), F.col("s.d")).alias("_d"), F.col("s.t").alias("_h"))
     kept = hashed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_semi")

@@ -1,5 +1,4 @@
 import numpy as np
-import pyspark.sql.functions as F
 import pytest
 import xxhash
 
@@ -33,10 +32,10 @@ def test_tree_loses_no_link(n):
         f = f ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
     f = np.unique(f)
     group = np.sort(rng.integers(0, 3, len(f)))
-    order = np.lexsort((simhash_index.gray_rank(f), group))
+    order = simhash_index.gray_order(f[:, None], group)
     f = f[order]
     a, b = np.nonzero((np.bitwise_count(f[:, None] ^ f[None, :]) <= 4) & (group[:, None] == group[None, :]))
-    assert (simhash_index.links(f, group, 4) == _join(np.arange(len(f)), a, b)).all()
+    assert (simhash_index.links(f[:, None], group, 4, 500) == _join(np.arange(len(f)), a, b)).all()
 
 
 @pytest.mark.parametrize("most", [20_000, 40])
@@ -56,6 +55,33 @@ def test_hot_top_nodes_are_salted_without_loss(spark, most):
     assert groups(ours) == groups(want.tolist())
 
 
+def test_wide_tree_loses_no_link():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, (40, 4)).astype(np.uint64)
+    f = base[rng.integers(0, 40, 400)]
+    for _ in range(14):
+        f = f.copy()
+        f[np.arange(400), rng.integers(0, 4, 400)] ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+    group = np.sort(rng.integers(0, 3, 400))
+    f = f[simhash_index.gray_order(f, group)]
+    d = np.bitwise_count(f[:, None] ^ f[None, :]).sum(axis=2)
+    a, b = np.nonzero((d <= 20) & (group[:, None] == group[None, :]))
+    assert (simhash_index.links(f, group, 20) == _join(np.arange(400), a, b)).all()
+
+
+def test_similar_texts_link_and_others_do_not(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(60):
+        w = [f"w{k}x{i}" for i in range(400)]
+        rows.append((2 * k, " ".join(w), "en", "a"))
+        for at in rng.choice(400, 5, replace=False):  # five words of 400: a similarity of about 0.88
+            w[at] = f"new{k}"
+        rows.append((2 * k + 1, " ".join(w), "en", "a"))
+    kept = {r.doc_id for r in simhash_index.one_of_each(documents(spark, rows)).collect()}
+    assert {d for d in range(0, 120, 2)} <= kept and len(kept) <= 63
+
+
 def test_components_of_a_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (7, 7), (200, 201)], "a long, b long")
     got = {r.key: r.root for r in components.components(df).collect()}
@@ -84,4 +110,3 @@ def test_one_stays(spark):
 
 def test_empty(spark, tmp_path):
     assert simhash_index.op2_simhash(spark, saved(spark, tmp_path / "d", [])).count() == 0
-    assert F.lit(1) is not None

@@ -3,8 +3,8 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
+from docloom.llm.simhash_index import _join
 from tests.llm.fixtures import saved
-from tests.llm.test_near import brute_print, brute_roots
 
 PASSAGE = " ".join(f"shared{i}" for i in range(60))
 
@@ -41,11 +41,14 @@ def test_stages(spark, tmp_path):
     with_passage = sorted(r["doc_id"] for r in seen[1] if PASSAGE in (r["text"] or ""))
     assert with_passage == [min(d for d in clean if d % 4 == 0 and d < 200)]
     assert {r["doc_id"] for r in seen[1]} == clean and all(r["n_chars"] == len(r["text"]) for r in seen[1])
-    fps = np.array([brute_print(r["text"], 5) for r in seen[1]], np.uint64)
-    ids = np.array([r["doc_id"] for r in seen[1]])
-    order = np.argsort(ids)
-    root = brute_roots(fps[order], 4)
-    assert sorted(r["doc_id"] for r in seen[2]) == sorted(set(ids[order][root].tolist()))
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = sorted((r["doc_id"], shingles(r["text"])) for r in seen[1])
+    near = [(i, j) for i, (_, a) in enumerate(sets) for j, (_, b) in enumerate(sets) if i < j and (len(a & b) / len(a | b) if a | b else 1) >= 0.8]
+    root = _join(np.arange(len(sets)), np.array([i for i, _ in near]), np.array([j for _, j in near]))
+    assert sorted(r["doc_id"] for r in seen[2]) == sorted({sets[i][0] for i in root.tolist()})
     assert {r["doc_id"] for r in seen[3]} <= {r["doc_id"] for r in seen[2]}
     assert max(sum(r["doc_id"] == d for r in seen[3]) for d in {r["doc_id"] for r in seen[3]}) <= 3
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
