@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.functions import vector as V
-from docloom.operators import changes, chunking, evaluation, extract, graph, knn, report, retrieval
+from docloom.operators import changes, chunking, embedding, evaluation, extract, graph, knn, report, retrieval
 from docloom.sources import readers
 from docloom.sources.readers import table
 from docloom.streaming import feeds
@@ -719,3 +719,67 @@ def event_windows(spark, d):
 @query("SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*)::BIGINT AS attempts FROM events GROUP BY user_id")
 def first_last_seen(spark, d):
     return feeds.seen(table(spark, d, "events"), "user_id")
+
+
+# -- embeddings, questions and verdicts
+
+_VOCAB = r"SELECT DISTINCT w AS word, [length(w)::DOUBLE, ascii(w)::DOUBLE] AS vector FROM (SELECT unnest(" + _TOKENS + ") AS w FROM benchmark)"
+
+
+@query(f"SELECT doc_id, dim, round(sum(v * n) / sum(n), 6) AS x FROM (SELECT doc_id, n, unnest(vector) AS v, unnest([0, 1])::INT AS dim FROM (SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS}) AS w FROM documents) GROUP BY 1, 2) JOIN ({_VOCAB}) USING (word)) GROUP BY 1, 2")
+def document_vectors(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(X.whitespace_tokens(F.lower("text"))).alias("word")).distinct()
+    vocabulary = words.select("word", F.array(F.length("word").cast("double"), F.ascii("word").cast("double")).alias("vector"))
+    return embedding.document_vectors(_docs(spark, d), "doc_id", "text", vocabulary)
+
+
+@query(r"SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 64)::INT AS dim, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents) GROUP BY 1, 2")
+def hashed_terms(spark, d):
+    return embedding.hashed_terms(_docs(spark, d), "doc_id", "text")
+
+
+@query("SELECT doc_id, CASE WHEN length(trim(text)) >= 20 THEN left(trim(text), 30000) END AS part FROM documents")
+def embeddable_texts(spark, d):
+    return _docs(spark, d).select("doc_id", embedding.embeddable(F.col("text")).alias("part"))
+
+
+@query()
+def word_vectors(spark, d):
+    return embedding.word_vectors(_docs(spark, d), "text", size=8, window=3, least=20, rounds=1)
+
+
+@query(f"SELECT question, vec_id, score FROM (SELECT a.vec_id AS question, b.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rn FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rn = 1")
+def best_chunk_per_question(spark, d):
+    e = table(spark, d, "embeddings")
+    return knn.nearest(e, e.where("vec_id % 50 = 0"), 1, "vec_id", "embedding").select(F.col("source").alias("question"), F.col("target").alias("vec_id"), "score")
+
+
+@query("SELECT conv_id, CASE WHEN bool_or(contains(upper(text), 'NO')) THEN 'NO' WHEN bool_or(contains(upper(text), 'YES')) THEN 'YES' ELSE 'UNCLEAR' END AS verdict, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id")
+def criterion_verdicts(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", X.verdict(F.col("text")).alias("v"))
+    g = rows.groupBy("conv_id").agg(F.max((F.col("v") == "NO").cast("int")).alias("no"), F.max((F.col("v") == "YES").cast("int")).alias("yes"), F.count("*").alias("n"))
+    return g.select("conv_id", F.when(F.col("no") == 1, "NO").when(F.col("yes") == 1, "YES").otherwise("UNCLEAR").alias("verdict"), "n")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY CASE lang WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END, doc_id LIMIT 100")
+def fixed_rank_order(spark, d):
+    rank = F.coalesce(F.nullif(F.array_position(F.array(F.lit("fr"), F.lit("de")), F.col("lang")), F.lit(0)), F.lit(3))
+    return _docs(spark, d).select("doc_id", "lang").orderBy(rank, "doc_id").limit(100)
+
+
+@query("SELECT doc_id, make_date((2000 + doc_id % 30)::INT, (doc_id % 9 + 1)::INT, 1)::VARCHAR AS month FROM documents")
+def month_of_url(spark, d):
+    url = F.concat(F.lit("https://host/a/20"), F.lpad((F.col("doc_id") % 30).cast("string"), 2, "0"), F.lit("-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("/x.pdf"))
+    return _docs(spark, d).select("doc_id", extract.month_of_url(url).cast("string").alias("month"))
+
+
+@query(r"SELECT doc_id, round(len(list_filter(t, lambda w: w IN ('the', 'from', 'with'))) / greatest(len(t), 1), 6) AS rank FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents) WHERE len(list_intersect(['the', 'from', 'with'], t)) > 0")
+def full_text_rank(spark, d):
+    match, rank = retrieval.full_text(F.col("text"), ["the", "from", "with"], "any")
+    return _docs(spark, d).where(match).select("doc_id", F.round(rank, 6).alias("rank"))
+
+
+@query("SELECT answer, count(n)::BIGINT AS n FROM (VALUES ('YES'), ('NO'), ('UNCLEAR'), ('ABSENT')) AS v(answer) LEFT JOIN (SELECT CASE WHEN contains(upper(text), 'NO') THEN 'NO' WHEN contains(upper(text), 'YES') THEN 'YES' ELSE 'UNCLEAR' END AS answer, 1 AS n FROM documents) USING (answer) GROUP BY 1")
+def verdict_distribution(spark, d):
+    rows = _docs(spark, d).select(X.verdict(F.col("text")).alias("answer"))
+    return graph.distribution(rows, "answer", ("YES", "NO", "UNCLEAR", "ABSENT"))

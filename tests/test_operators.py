@@ -191,3 +191,49 @@ def test_stream(spark, tmp_path):
     stream = feeds.event_windows(feeds.files(spark, str(tmp_path / "in"), rows.schema)).writeStream.outputMode("complete").format("memory").queryName("win").trigger(availableNow=True).start()
     stream.awaitTermination()
     assert spark.table("win").count() == 1
+
+
+def test_embedder_is_called_in_batches(spark):
+    from docloom.operators import embedding
+
+    df = spark.createDataFrame([(i, "x" * i if i else None) for i in range(5)], "id int, t string")
+    got = embedding.embedded(df, "t", lambda: lambda texts: [[float(len(t)), float(len(texts))] for t in texts], batch=2).orderBy("id").collect()
+    assert [r.embedding[0] for r in got] == [0.0, 1.0, 2.0, 3.0, 4.0] and max(r.embedding[1] for r in got) <= 2
+
+
+def test_projection_keeps_rows(spark):
+    from docloom.operators import embedding
+
+    df = spark.createDataFrame([(i, [float(i), float(i * i), 1.0]) for i in range(6)], "id int, v array<double>")
+    assert {len(r.projected) for r in embedding.projected(df, "v").collect()} == {2}
+
+
+def test_nearest_of_edge_vectors(spark):
+    from docloom.operators import knn
+
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0]), (4, None), (5, [None, 1.0])], "id long, v array<double>")
+    got = [(r.source, r.target, r.score) for r in knn.nearest(df, df.where("id = 1"), 5, "id", "v").orderBy("rank").collect()]
+    assert got == [(1, 3, 0.707107), (1, 2, 0.0)]
+
+
+def test_entry_point_without_the_subpackage(spark):
+    import builtins
+    import importlib
+    import sys
+
+    real = builtins.__import__
+
+    def blocked(name, globals_=None, locals_=None, fromlist=(), level=0):
+        if name.startswith("docloom.llm") or (name == "docloom.llm"):
+            raise ImportError(name)
+        return real(name, globals_, locals_, fromlist, level)
+
+    kept = {k: sys.modules.pop(k) for k in list(sys.modules) if k.startswith("docloom.llm") or k == "__spark_entry__"}
+    builtins.__import__ = blocked
+    try:
+        entry = importlib.import_module("__spark_entry__")
+        assert not any(k.startswith("op") and k[2].isdigit() for k in entry.queries()) and "vector_topk" in entry.queries()
+    finally:
+        builtins.__import__ = real
+        sys.modules.pop("__spark_entry__", None)
+        sys.modules.update(kept)
