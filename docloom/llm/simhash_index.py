@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.common import checkpointed, parts, table
-from docloom.llm.components import components
+from docloom.llm.components import SALTS, components
 
 FAN = 8
 
@@ -258,7 +258,10 @@ def near_components(docs: DataFrame, words: int = 5, limit: int = 4, text: str =
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     stars = components(near_links(distinct.select("fp"), limit))
     placed = distinct.join(stars.select(F.col("key").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id", "root")
+    # a component may hold a third of all fingerprints: they meet its name in salted parts
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
+    name = placed.groupBy("root").agg(F.min("first").alias("component_id")).select("root", "component_id", salts)
+    named = placed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(name, ["root", "salt"]).select("fp", "component_id", "root")
     return own.join(named, "fp").select("doc_id", *keep, "fp", "component_id", "root")
 
 
