@@ -13,8 +13,8 @@ order of their ids; an empty table gives an empty file; extra columns are ignore
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,61 +25,69 @@ from pyspark.sql import types as T
 from docloom.llm.common import Generations, in_range, parts, range_bounds, table, written
 
 BLOCK = 65_536
-_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters for which the fast path below and the library's Unicode tables surely agree.
-_PLAIN = re.compile("[\x21-\x7e¡-¬®-ɏ‐-‧€]*").fullmatch
+#: Characters for which Python and the library surely agree: printable Latin ones and white space. None of them changes under NFC.
+_LATIN = "\x21-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u20ac"
+_PLAIN = re.compile(f"[ \\t\\n\\r{_LATIN}]*").fullmatch
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The vocabulary's cut into words, over lower-cased plain text.
+_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+").findall
+_WHOLE = "\0"  # in front of chunks that go to the library whole
 
 
 class WordEncoder:
-    """Ids of whole texts as the library gives them. A text falls at white space into chunks that are encoded alone and remembered; a new
-    chunk of plain Latin characters is normalised and cut here and its words go to the library's model, any other goes to the library whole.
-    Texts with special tokens, or with characters that Python alone takes for white space, go to the library whole."""
+    """Ids of whole texts as the library gives them. Plain texts are lower-cased and cut into words here; each word that is new goes to the
+    library's model once and is remembered. Other texts fall at white space into chunks, of which the plain ones are treated so and the others
+    go to the library whole; texts with special tokens, or with characters that Python alone takes for white space, go there as they are."""
 
-    def __init__(self, file: str, cache: int = 300_000):
-        import regex
+    def __init__(self, file: str, cache: int = 150_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
         self.model = self.library.model
-        self.cut = regex.compile(_PIECES).findall
         odd = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([*odd, "[\x1c-\x1f\x85]"])).search
-        self.seen, self.words = Generations(cache), {}
+        self.odd = re.compile("|".join([*odd, "[\x00\x1c-\x1f\x85]"])).search
+        self.seen = Generations(cache)
         pool = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: printable bytes stand for themselves
         rest = iter(range(256, 512))
         self.alphabet = [chr(b) if b in pool else chr(next(rest)) for b in range(256)]
         probe = ["Hello, World's 42 fine-days!", "Ça n'était ÉTÉ; größer «ñandú» 3½", "it're I'LL 'd''s x2y"]
-        self.fast = all(self._chunks(x) == self.library.encode(x, add_special_tokens=False).ids for x in probe)
+        self.fast = [self._ids(x) for x in probe] == [self.library.encode(x, add_special_tokens=False).ids for x in probe]
 
-    def _word(self, word: str) -> list[int]:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > self.seen.limit:
-                self.words.clear()
-            got = self.words[word] = [t.id for t in self.model.tokenize("".join([self.alphabet[b] for b in word.encode()]))]
-        return got
-
-    def _chunks(self, text: str) -> list[int]:
-        return [i for c in text.split() for i in self._plain(c)]
+    def _ids(self, plain: str) -> list[int]:
+        return [i for w in _CUT(plain.lower()) for i in self._word(w)]
 
-    def _plain(self, chunk: str) -> list[int]:
-        chunk = chunk.lower() if chunk.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
-        return [i for w in self.cut(chunk) for i in self._word(w)]
+    def _word(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = "".join([self.alphabet[b] for b in word.encode()])
+        return [t.id for t in self.model.tokenize(word)]
+
+    def _keys(self, text: str) -> list[str] | None:
+        if self.odd(text):
+            return None
+        if _PLAIN(text):
+            return _CUT(text.lower())
+        out = []
+        for c in text.split():
+            if _PLAIN(c):
+                out += _CUT(c.lower())
+            else:
+                out.append(_WHOLE + c)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids, without special ones."""
         if not self.fast:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        cut = [None if self.odd(t) else t.split() for t in texts]
-        new = self.seen.missing([c for x in cut if x for c in x])
-        hard = [c for c in new if not _PLAIN(c)]
+            return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        cut = [self._keys(t) for t in texts]
+        new = self.seen.missing([k for x in cut if x for k in x])
         young = self.seen.young
-        for c, e in zip(hard, self.library.encode_batch(hard, add_special_tokens=False) if hard else [], strict=True):
-            young[c] = np.array(e.ids, "<u4").tobytes()
-        for c in new:
-            if c not in young:
-                young[c] = np.array(self._plain(c), "<u4").tobytes()
-        return [b"".join([young[c] for c in x]) if x is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for x, t in zip(cut, texts, strict=True)]
+        hard = [k for k in new if k[0] == _WHOLE]
+        for k, e in zip(hard, self.library.encode_batch([k[1:] for k in hard], add_special_tokens=False) if hard else [], strict=True):
+            young[k] = array("I", e.ids).tobytes()
+        for k in new:
+            if k[0] != _WHOLE:
+                young[k] = array("I", self._word(k)).tobytes()
+        return [b"".join([young[k] for k in x]) if x is not None else array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() for x, t in zip(cut, texts, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -133,19 +141,14 @@ def encode_documents(docs: DataFrame, file: str, end: int | None = 1, bounds: li
         narrow = e.library.get_vocab_size() <= 1 << 16
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                to, have = at, 0
-                while to < len(texts) and have < 1_000_000:
-                    have += len(texts[to] or "")
-                    to += 1
-                out = [x + tail for x in e.encode([t or "" for t in texts[at:to]])]
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                out = [x + tail for x in e.encode([t or "" for t in part.column("text").to_pylist()])]
                 if narrow:
                     out = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in out]
-                ranges = in_range(cuts, np.array([-(1 << 63) if i is None else i for i in ids[at:to]], np.int64)).astype("i4")
-                yield pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(ids[at:to], pa.int64()), pa.array(out, pa.binary())], names=schema.names)
-                at = to
+                ids = part.column("doc_id")
+                ranges = in_range(cuts, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)).astype("i4")
+                yield pa.RecordBatch.from_arrays([pa.array(ranges), ids, pa.array(out, pa.binary())], names=schema.names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
