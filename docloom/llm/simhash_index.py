@@ -11,7 +11,7 @@ below one top node of some rotation: no link is lost. Top nodes with more than `
 pairwise. A task hands on a spanning forest of its links, not the links themselves.
 
 For a similarity of 0.8 over shingles, as a near-duplicate stage needs it, 64 bits and 4 differences are too few: similar_links() indexes 256-bit
-fingerprints in the same way, through more turns of the bits.
+fingerprints in the same way, through more turns: pairs of short segments, as many and as wide at every size of the table.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero and link like others; rows with equal text share a
 fingerprint; rows that repeat a doc_id are one document if their texts are equal, else each has its own fingerprint; a null doc_id takes
@@ -196,19 +196,19 @@ def near_links(fps: DataFrame, limit: int = 4, most: int = 20_000) -> DataFrame:
     return _linked_below(fps.select(F.col("fp").alias("id"), "fp"), ("fp",), tops, turns, limit, most)
 
 
-def similar_links(fps: DataFrame, names: tuple[str, ...], limit: int, turns: int = 21, least_width: int = 12, most: int = 20_000) -> DataFrame:
-    """fps: id, and the words of distinct fingerprints. Links (a, b) of ids of at most `limit` different bits, found through `turns` turns of the
-    bits; a top node shares its turn's leading bits, as many as leave about 64 fingerprints to a node, `least_width` at least. Of pairs that
-    differ in a share d of the bits, 1 - (1 - (1 - d) ** width) ** turns are found."""
-    width = max(least_width, int(max(fps.count(), 1) / 64).bit_length())
-    tops = []
-    for i in range(turns):
-        word, off = divmod(i * 64 * len(names) // turns, 64)
-        bits = F.shiftrightunsigned(names[word], off)
-        if off + width > 64:
-            bits = bits.bitwiseOR(F.shiftleft(names[(word + 1) % len(names)], 64 - off))
-        tops.append(bits.bitwiseAND(F.lit((1 << width) - 1)))
-    return _linked_below(fps, names, tops, [0] * turns, limit, most)
+#: Bits of a segment, segments of a fingerprint word, and how far apart the two segments of a turn stand.
+SEGMENT, IN_WORD, STEPS = 7, 9, (1, 5)
+
+
+def similar_links(fps: DataFrame, names: tuple[str, ...], limit: int, most: int = 20_000) -> DataFrame:
+    """fps: id, and the words of distinct fingerprints. Links (a, b) of ids of at most `limit` different bits, found below top nodes of 14 bits:
+    two segments of a fingerprint, in 72 turns that share no more than one segment. What two fingerprints share decides alone whether they
+    meet, whatever else the table holds and however much of it; of pairs that differ in a share d of the bits about
+    1 - (1 - (1 - d) ** 14) ** 72 do, somewhat fewer as turns share segments. Nodes grow with the table instead, and large ones are salted."""
+    n = IN_WORD * len(names)
+    segments = [F.shiftrightunsigned(names[i // IN_WORD], SEGMENT * (i % IN_WORD)).bitwiseAND(F.lit((1 << SEGMENT) - 1)) for i in range(n)]
+    tops = [F.shiftleft(segments[i], SEGMENT).bitwiseOR(segments[(i + step) % n]) for step in STEPS for i in range(n)]
+    return _linked_below(fps, names, tops, [0] * len(tops), limit, most)
 
 
 def _linked_below(fps: DataFrame, names: tuple[str, ...], tops: list, turns: list[int], limit: int, most: int) -> DataFrame:

@@ -82,6 +82,27 @@ def test_similar_texts_link_and_others_do_not(spark):
     assert {d for d in range(0, 120, 2)} <= kept and len(kept) <= 63
 
 
+def test_links_do_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    pairs, limit = 1500, 56
+    left = rng.integers(0, 256, (pairs, 32), dtype=np.uint8)
+    flips = rng.random((pairs, 256)) < 0.1515  # the share of different bits at a similarity of 0.8
+    right = left ^ np.packbits(flips, axis=1)
+    others = rng.integers(0, 256, (20_000, 32), dtype=np.uint8)
+    names = simhash_index.WIDE
+
+    def found(*tables):
+        words = np.concatenate(tables).view(np.int64)
+        df = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words)], "id long, " + ", ".join(f"{n} long" for n in names))
+        return {(min(r), max(r)) for r in simhash_index.similar_links(df, names, limit).distinct().collect()}
+
+    small, large = found(left, right), found(left, right, others)
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda self: 12_000_000)  # as many as 30 GB have
+    assert small == large == found(left, right)
+    within = {(i, pairs + i) for i in np.flatnonzero(flips.sum(axis=1) <= limit).tolist()}
+    assert small <= within and len(small) >= 0.98 * len(within)
+
+
 def test_components_of_a_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (7, 7), (200, 201)], "a long, b long")
     got = {r.key: r.root for r in components.components(df).collect()}
