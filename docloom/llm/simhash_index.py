@@ -35,27 +35,38 @@ from docloom.llm.components import SALTS, components
 FAN = 8
 
 
-def prints(text: str | None, words: int = 4, count: int = 1) -> np.ndarray:
-    """The fingerprint of a whole text: `count` 64-bit words; the first from the shingles' XXH64, each further one from a mix of it. Shingles
-    are hashed 16k at a time."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle of a whole text in order; of all its words where it has fewer than `words`."""
     import xxhash
 
     hashed = xxhash.xxh64_intdigest
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return np.zeros(count, np.uint64)
+        return np.zeros(0, np.uint64)
     line = b" ".join(tokens)
     ends = list(accumulate([len(t) + 1 for t in tokens]))
     starts, ends = [0, *ends[:-words]] if len(tokens) > words else [0], ends[words - 1 :] or ends[-1:]
-    n = len(starts)
+    return np.fromiter((hashed(line[s : e - 1], 42) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray, count: int = 1) -> np.ndarray:
+    """The fingerprint of shingle hashes: `count` 64-bit words; the first from the hashes, each further one from a mix of them, 16k at a time."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(count, np.uint64)
     ones = np.zeros(64 * count, np.int64)
     for at in range(0, n, 16_384):
-        h = np.fromiter((hashed(line[s : e - 1], 42) for s, e in zip(starts[at : at + 16_384], ends[at : at + 16_384], strict=True)), np.uint64)
+        h = hashes[at : at + 16_384]
         every = np.stack([h, *(_mixed(h, j) for j in range(1, count))], axis=1)
         ones += np.unpackbits(every.view(np.uint8).reshape(-1, 8 * count), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)
 
 
+def prints(text: str | None, words: int = 4, count: int = 1) -> np.ndarray:
+    """The fingerprint of a whole text."""
+    return majority(shingles(text, words), count)
+
+
 def _mixed(h: np.ndarray, j: int) -> np.ndarray:
     x = h + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -79,6 +90,32 @@ def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: tupl
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
+def _few(batches, rows: int = 256):
+    """Batches in slices, so that texts and sets of few rows are held at once."""
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
+def set_key(sorted_set: np.ndarray) -> int:
+    """A signed 64-bit key of a set of shingle hashes."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(sorted_set.tobytes(), 42)).view(np.int64))
+
+
+def set_prints(docs: DataFrame, words: int, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """keep's columns, and of the set of the text's shingles: its key (id), its size (n) and its fingerprint, in which each shingle counts once."""
+    schema = T.StructType([*(docs.schema[k] for k in keep), *(T.StructField(n, T.LongType()) for n in ("id", "n", *WIDE))])
+
+    def run(batches):
+        for b in _few(batches):
+            sets = [(set_key(s), len(s), majority(s, len(WIDE))) for s in (np.unique(shingles(t, words)) for t in b.column(text).to_pylist())]
+            found = np.array([x[2] for x in sets], np.uint64).reshape(-1, len(WIDE)).view(np.int64)
+            own = [pa.array([x[i] for x in sets], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *own, *(pa.array(found[:, i]) for i in range(len(WIDE)))], names=schema.names)
+
+    return docs.select(*keep, text).mapInArrow(run, schema)
+
+
 def gray_rank(bits: np.ndarray) -> np.ndarray:
     """Place of each word in the reflected Gray order."""
     out = bits.copy()
@@ -208,19 +245,22 @@ def similar_links(fps: DataFrame, names: tuple[str, ...], limit: int, most: int
     n = IN_WORD * len(names)
     segments = [F.shiftrightunsigned(names[i // IN_WORD], SEGMENT * (i % IN_WORD)).bitwiseAND(F.lit((1 << SEGMENT) - 1)) for i in range(n)]
     tops = [F.shiftleft(segments[i], SEGMENT).bitwiseOR(segments[(i + step) % n]) for step in STEPS for i in range(n)]
-    return _linked_below(fps, names, tops, [0] * len(tops), limit, most)
+    return _linked_below(fps, names, tops, [0] * len(tops), limit, most, 400_000)  # a loose limit cuts little of the tree
+
 
+def _blocks():
+    """The blocks of a row with an id: every pair of salts that its own is in, so that all rows of a group meet in some block."""
+    own = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
+    return F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda j: F.least(own, j) * F.col("salts") + F.greatest(own, j)))
 
-def _linked_below(fps: DataFrame, names: tuple[str, ...], tops: list, turns: list[int], limit: int, most: int) -> DataFrame:
+
+def _linked_below(fps: DataFrame, names: tuple[str, ...], tops: list, turns: list[int], limit: int, most: int, budget: int = 4_000_000) -> DataFrame:
     """Links (a, b) of ids between fingerprints of at most `limit` different bits that share a top node of some turn."""
     spark = fps.sparkSession
     keyed = fps.select("id", *names, F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), t.alias("top")) for i, t in enumerate(tops)])).alias("k")).select("id", *names, "k.turn", "k.top")
     sizes = keyed.groupBy("turn", "top").agg(F.count("*").alias("n")).where(F.col("n") > most).withColumn("salts", F.ceil(F.col("n") / (most / 2)).cast("int")).drop("n")
-    # rows of a large top node go to every pair of blocks that their own block is in
-    own = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
-    salted = keyed.join(sizes, ["turn", "top"], "left").withColumn(
-        "blocks", F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda j: F.least(own, j) * F.col("salts") + F.greatest(own, j)))
-    )
+    # at most one large node for `most` keyed rows, so few that they are broadcast; rows of a large top node go to every pair of blocks that their own block is in
+    salted = keyed.join(F.broadcast(sizes), ["turn", "top"], "left").withColumn("blocks", _blocks())
     columns = ("turn", "top", "block", "id", *names)
     dealt = salted.select("id", *names, "turn", "top", F.explode("blocks").alias("block")).select(*columns).repartition(parts(spark), "turn", "top", "block").sortWithinPartitions("turn", "top", "block")
 
@@ -235,7 +275,7 @@ def _linked_below(fps: DataFrame, names: tuple[str, ...], tops: list, turns: lis
             turned = np.where(by > 0, bits << by | bits >> (np.uint64(64) - by) % np.uint64(64), bits)
             order = gray_order(turned, group)
             ids = ids[:cut][order]
-            root = links(bits[order], group[order], limit)
+            root = links(bits[order], group[order], limit, budget)
             apart = np.flatnonzero(root != np.arange(cut))
             return pa.RecordBatch.from_arrays([pa.array(ids[apart]), pa.array(ids[root[apart]])], names=["a", "b"]), tuple(x[cut:] for x in rows)
 
@@ -266,20 +306,101 @@ def near_components(docs: DataFrame, words: int = 5, limit: int = 4, text: str =
 
 
 def bits_of_similarity(similarity: float, bits: int) -> int:
-    """Different bits of SimHashes of two shingle sets with this Jaccard similarity: the expected number and half its standard deviation."""
+    """Most different bits of SimHashes of two shingle sets with this Jaccard similarity: the expected number and three standard deviations."""
     d = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * d + 0.5 * math.sqrt(bits * d * (1 - d)))
+    return int(bits * d + 3 * math.sqrt(bits * d * (1 - d)))
 
 
 WIDE = ("w0", "w1", "w2", "w3")
 
 
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, keep's columns, and root: equal for documents of one component of links of at least this similarity, as 256-bit fingerprints
-    tell it (64 bits are too few to tell 0.8 from less)."""
-    own = checkpointed(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text), words, text, ("doc_id", *keep), WIDE).withColumn("id", F.xxhash64(*WIDE)))
-    distinct = checkpointed(own.select("id", *WIDE).dropDuplicates(["id"]))
-    stars = components(similar_links(distinct, WIDE, bits_of_similarity(similarity, 256))).select(F.col("key").alias("id"), "root")
+def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set (sorted, distinct members) the place of one set of its component, over links of at least this Jaccard similarity. A set is
+    held against those of fitting size that have no component yet."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    size = np.array([len(sets[i]) for i in order])
+    ends = np.cumsum(size)
+    flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    root, free = np.arange(len(sets)), np.ones(len(sets), bool)
+    own = np.zeros(len(flat), np.int64)
+    for first in range(len(sets)):
+        queue = [first] if free[first] and size[first] else []
+        free[first] = False
+        while queue:
+            i = queue.pop()
+            lo, hi = np.searchsorted(size, max(1, math.floor(size[i] * similarity))), np.searchsorted(size, math.ceil(size[i] / similarity), "right")
+            others = lo + np.flatnonzero(free[lo:hi])
+            if not len(others):
+                continue
+            mine = flat[ends[i] - size[i] : ends[i]]
+            own[mine] = 1
+            n = size[others]
+            members = flat[np.repeat(ends[others] - n, n) + _within(n)]
+            both = np.add.reduceat(own[members], np.cumsum(n) - n)
+            own[mine] = 0
+            near = others[both / (size[i] + n - both) >= similarity]
+            free[near], root[near] = False, first
+            queue.extend(near.tolist())
+    out = np.empty(len(sets), np.int64)
+    out[order] = order[root]
+    return out
+
+
+def verified_links(texts: DataFrame, words: int, similarity: float, text: str = "text", most: int = 2_000) -> DataFrame:
+    """texts: id (the key of the text's shingle set), n (its size), root (its component of candidates) and the text. Links (a, b) of ids with the
+    components that all pairs of one root of at least this Jaccard similarity have, told from the shingles themselves. A root with more than
+    `most` texts, or more shingles than as many texts of 500, is cut into salted blocks that meet pairwise."""
+    spark = texts.sparkSession
+    weight = F.greatest(F.count("*"), F.ceil(F.sum("n") / 500))
+    sizes = texts.groupBy("root").agg(weight.alias("m")).where(F.col("m") > most).withColumn("salts", F.ceil(F.col("m") / (most / 2)).cast("int")).drop("m")
+
+    def cut(batches):
+        for b in _few(batches):
+            sets = [np.unique(shingles(t, words)) for t in b.column("_text").to_pylist()]
+            ours = pa.array([set_key(s) == k for s, k in zip(sets, b.column("id").to_pylist(), strict=True)], pa.bool_())
+            columns = [b.column("id"), b.column("root"), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "root", "members"]).filter(ours)
+
+    held = texts.select("id", "root", F.col(text).alias("_text")).mapInArrow(cut, "id long, root long, members binary")
+    blocks = held.join(F.broadcast(sizes), "root", "left").withColumn("block", F.explode(_blocks())).select("root", "block", "id", "members")
+    dealt = blocks.repartition(parts(spark), "root", "block").sortWithinPartitions("root", "block")
+
+    def run(batches):
+        at, ids, sets = None, [], []
+
+        def found():
+            place = similar_sets(sets, similarity) if len(ids) > 1 else np.zeros(len(ids), np.int64)
+            return [(ids[i], ids[j]) for i, j in enumerate(place.tolist()) if ids[i] != ids[j]]
+
+        for b in _few(batches):
+            out = []
+            for r, k, i, members in zip(*(b.column(c).to_pylist() for c in ("root", "block", "id", "members")), strict=True):
+                if (r, k) != at:
+                    out += found()
+                    at, ids, sets = (r, k), [], []
+                ids.append(i)
+                sets.append(np.frombuffer(members, np.uint64))
+            yield _pairs(out)
+        yield _pairs(found())
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", keep: tuple[str, ...] = (), most: int = 2_000) -> DataFrame:
+    """doc_id, keep's columns, and root: equal for documents of one component of links of at least this Jaccard similarity of their shingle
+    sets. 256-bit fingerprints propose components (64 bits are too few to tell 0.8 from less); the sets of a proposed one are compared."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text, F.xxhash64(text).alias("_x"))
+    own = checkpointed(set_prints(docs, words, text, ("doc_id", *keep, "_x")))
+    one = F.max(F.struct("doc_id", "_x")).alias("one")  # a document with the set; null ids are the least
+    distinct = checkpointed(own.groupBy("id").agg(one, *(F.first(c).alias(c) for c in ("n", *WIDE))))
+    proposed = components(similar_links(distinct.select("id", *WIDE), WIDE, bits_of_similarity(similarity, 64 * len(WIDE)))).withColumnRenamed("key", "id")
+    held = distinct.join(proposed, "id").select("id", "n", "root", F.col("one.doc_id").alias("_d"), F.col("one._x").alias("_h"))
+    texts = checkpointed(docs.select("doc_id", "_x", text).join(held, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h"))).select("id", "n", "root", text))
+    stars = components(verified_links(texts, words, similarity, text, most)).select(F.col("key").alias("id"), "root")
     return own.join(stars, "id", "left").select("doc_id", *keep, F.coalesce("root", "id").alias("root"))
 
 

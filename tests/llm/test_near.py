@@ -103,6 +103,34 @@ def test_links_do_not_depend_on_the_size_of_the_table(spark, monkeypatch):
     assert small <= within and len(small) >= 0.98 * len(within)
 
 
+def jaccard_components(texts, words=5, least=0.8):
+    def cut(t):
+        w = t.encode().lower().split()
+        return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+    sets = [cut(t) for t in texts]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if (len(a & b) / len(a | b) if a | b else 1) >= least]
+    return _join(np.arange(len(sets)), np.array([i for i, _ in near]), np.array([j for _, j in near]))
+
+
+@pytest.mark.parametrize("most", [2_000, 6])
+def test_similarity_is_told_from_the_shingles(spark, most):
+    rng, texts = np.random.default_rng(14), []
+    for k in range(40):  # copies with some words changed: from about 0.6 to 0.9
+        w = [f"w{k}x{i}" for i in range(300)]
+        texts.append(" ".join(w))
+        for n in (3, 5, 7, 8, 12):
+            v = list(w)
+            for at in rng.choice(300, n, replace=False):
+                v[at] = f"new{k}n{n}a{at}"
+            texts.append(" ".join(v))
+    line = " ".join(f"notice{i}" for i in range(12))
+    texts += [" ".join([line] * 20 + [f"own{k}y{i}" for i in range(60)]) for k in range(20)]  # one short line, often
+    got = {r.doc_id: r.root for r in simhash_index.similar_components(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), most=most).collect()}
+    groups = lambda xs: {frozenset(np.flatnonzero(np.array(xs) == v).tolist()) for v in set(xs)}
+    assert groups([got[i] for i in range(len(texts))]) == groups(jaccard_components(texts).tolist())
+
+
 def test_components_of_a_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (7, 7), (200, 201)], "a long, b long")
     got = {r.key: r.root for r in components.components(df).collect()}
