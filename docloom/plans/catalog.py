@@ -615,24 +615,24 @@ def pagerank(spark, d):
     return graph.pagerank(_edges(spark, d), table(spark, d, "embeddings").select("vec_id"), "vec_id", 6)
 
 
-def _small(spark, d):
-    nodes = table(spark, d, "embeddings").where("vec_id < 300").select("vec_id")
+def _graph(spark, d):
+    nodes = table(spark, d, "embeddings").select("vec_id")
     return graph.induced(_edges(spark, d), nodes, "vec_id"), nodes
 
 
 @query()
 def betweenness(spark, d):
-    return graph.betweenness(*_small(spark, d), "vec_id")
+    return graph.betweenness(*_graph(spark, d), "vec_id")
 
 
 @query()
 def communities(spark, d):
-    return graph.communities(*_small(spark, d), "vec_id")
+    return graph.communities(*_graph(spark, d), "vec_id")
 
 
 @query()
 def node_classes(spark, d):
-    edges, nodes = _small(spark, d)
+    edges, nodes = _graph(spark, d)
     c = graph.degree(edges, nodes, "vec_id").join(graph.pagerank(edges, nodes, "vec_id", 6), "vec_id").join(graph.betweenness(edges, nodes, "vec_id"), "vec_id")
     cols = [F.col("degree"), F.col("pagerank"), F.col("betweenness")]
     c = c.withColumn("final_score", graph.final_score(*cols)).withColumn("classification", graph.node_class(*cols)).withColumn("confidence_level", graph.level(*cols))

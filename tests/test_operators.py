@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.functions import vector as V
 from docloom.operators import changes, chunking, evaluation, extract, graph, retrieval
+from docloom.plans import catalog
 from docloom.sources import readers, sinks
 from docloom.streaming import feeds
+from tests.conftest import DATA
 
 
 def one(spark, value, column, kind="string"):
@@ -113,6 +115,21 @@ def test_graph_rules(spark):
     assert found[0] == found[1] == found[2] != found[3] == found[4]
 
 
+def test_communities_of_more_than_a_thousand_nodes(spark):
+    nodes = spark.range(1200).select(F.col("id").alias("n"))
+    pairs = nodes.where("n % 3 > 0").select((F.col("n") - 1).alias("source"), F.col("n").alias("target"), F.lit(1.0).alias("confidence"))
+    found = {r.n: r.community for r in graph.communities(pairs, nodes, "n").collect()}
+    assert found == {i: i // 3 for i in range(1200)}
+
+
+@pytest.mark.parametrize("name", ["betweenness", "communities"])
+def test_graph_queries_take_every_node(spark, tmp_path, name):
+    spark.read.parquet(f"{DATA}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    e.withColumn("vec_id", F.col("vec_id") + 250).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalog.queries()[name](spark, str(tmp_path)).count() == e.count()
+
+
 def test_walk_has_no_cycles(spark):
     edges = spark.createDataFrame([(1, 2, 0.9), (2, 1, 0.9), (2, 3, 0.9)], "source long, target long, confidence double")
     seeds = spark.createDataFrame([(1, 1.0)], "id long, rel double")
