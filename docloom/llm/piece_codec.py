@@ -1,13 +1,15 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 Encoding keeps a score-ordered agenda of adjacent symbol pairs: the pair whose merged piece has the best score (leftmost on ties) is merged
-first, its new neighbours enter the agenda, stale entries are skipped; symbols without a piece fall back to bytes. No piece of such a
-vocabulary continues from a non-space into a space, nor holds a line feed, so a text falls into segments (a run of spaces with what follows
-it, or a line feed) that are encoded alone and remembered. Every Arrow batch holds the segments it sees for the first time against the
-sentencepiece library in one call; where the two differ, the library's ids are taken and the difference is counted.
-Where a vocabulary doesn't have these properties, or normalises texts, the library encodes whole texts.
-
-Defined cases: null text counts as empty and gives begin and end ids only; repeated rows give repeated results; extra columns are ignored.
+first, its new neighbours enter the agenda, stale entries are skipped; symbols without a piece fall back to bytes. Where no piece continues
+from a non-space into a space, nor holds a line feed, and texts aren't normalised, a text falls into segments (a run of spaces with what
+follows it, or a line feed) that are encoded alone and remembered; otherwise whole normalised texts are. Every Arrow batch holds what it
+encodes for the first time against the sentencepiece library in one call. The ids are the agenda's; where the library's differ, the task ends
+with an AgendaError that names the segment. A vocabulary that isn't of the merge type is refused.
+
+Defined cases: null text counts as empty and gives begin and end ids only; rows that repeat, and equal texts, give equal results; the order of
+rows has no part in them; a null id stays; a very long text is encoded whole, segment by segment; an empty table gives an empty result; extra
+columns are ignored, or kept by the column functions.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ SPACE = "▁"
 _SEGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
+class AgendaError(ValueError):
+    """The agenda's ids aren't the library's."""
+
+
 class AgendaEncoder:
     """Ids of a segment by the agenda."""
 
@@ -155,8 +161,9 @@ class PieceCodec:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.agenda = AgendaEncoder(self.sp)
+        if not self.agenda.merge_type:
+            raise ValueError(f"piece_codec: {model} has no merge-type vocabulary with bytes")
         self.seen = Generations(cache)
-        self.differences = 0
         self.head = np.array([self.sp.bos_id()], "<u4").tobytes()
         self.tail = np.array([self.sp.eos_id()], "<u4").tobytes()
 
@@ -184,7 +191,7 @@ class PieceCodec:
         """New segments by the agenda, held against the library in one call."""
         ours, asked, skip = self.agenda.encode_many(segments), [], []
         for s in segments:
-            if s.startswith(SPACE):
+            if s.startswith(SPACE) and s != SPACE:
                 asked.append(s[1:])
                 skip.append(0)
             else:  # without the library's first space: behind a line feed
@@ -192,23 +199,30 @@ class PieceCodec:
                 skip.append(-1)
         lead = self.sp.encode("\n") if -1 in skip else []
         for s, k, theirs in zip(segments, skip, self.sp.encode(asked, num_threads=1), strict=True):
-            theirs = theirs[len(lead) :] if k else theirs
-            if s == SPACE:
-                theirs = [self.agenda.ids[SPACE]] if SPACE in self.agenda.ids else theirs
-            theirs = array("I", theirs).tobytes()
-            if ours[s] != theirs:
-                self.differences += 1
-            self.seen.young[s] = theirs
+            self._check(s, ours[s], theirs[len(lead) :] if k else theirs)
+        self.seen.young.update(ours)
+
+    def _check(self, what: str, ours: bytes, theirs: list[int]) -> None:
+        if ours != array("I", theirs).tobytes():
+            raise AgendaError(f"the agenda's ids of {what[:200]!r} aren't the library's")
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for t, theirs in zip(texts, self.sp.encode(texts, num_threads=1), strict=True):
+            ours = array("I", self.agenda.encode(self.sp.normalize(t)) if t else []).tobytes()
+            self._check(t, ours, theirs)
+            out.append(ours)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.agenda.splits:
-            return [self.head + np.array(x, "<u4").tobytes() + self.tail for x in self.sp.encode(texts, num_threads=1)]
+            return [self.head + x + self.tail for x in self._whole(texts)]
         cut = [self._segments(t) for t in texts]
-        new = self.seen.missing([s for x in cut for s in x])
+        new = self.seen.missing(set().union(*cut))
         if new:
             self._learn(new)
-        get = self.seen.young
-        return [self.head + b"".join([get[s] for s in x]) + self.tail for x in cut]
+        get = self.seen.young.__getitem__
+        return [self.head + b"".join(map(get, x)) + self.tail for x in cut]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.sp.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1)

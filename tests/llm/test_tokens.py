@@ -25,7 +25,6 @@ def test_agenda_is_the_library():
     c, sp, texts = piece_codec.PieceCodec(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL), random_texts(4000)
     assert c.agenda.splits
     assert [np.frombuffer(x, "<u4").tolist() for x in c.encode(texts)] == sp.encode(texts, add_bos=True, add_eos=True)
-    assert c.differences == 0
     assert c.agenda.encode("▁whatsoever") == sp.encode("whatsoever")
 
 
@@ -51,6 +50,23 @@ def test_columns(spark):
     assert piece_codec.encode_column(documents(spark, []), MODEL).count() == 0
 
 
+def test_ids_are_the_agendas(monkeypatch):
+    """Ids come from the agenda; one that is wrong can't pass for the library's."""
+    monkeypatch.setattr(piece_codec.AgendaEncoder, "encode_many", lambda self, segments: {s: b"\1\0\0\0" for s in segments})
+    with pytest.raises(piece_codec.AgendaError):
+        piece_codec.PieceCodec(MODEL).encode(["some text"])
+    c = piece_codec.PieceCodec(MODEL)
+    monkeypatch.setattr(piece_codec.PieceCodec, "_check", lambda self, *_: None)
+    assert np.frombuffer(c.encode(["some text"])[0], "<u4").tolist() == [c.sp.bos_id(), 1, 1, c.sp.eos_id()]
+
+
+def test_whole_texts_by_the_agenda(monkeypatch):
+    """As for a vocabulary whose pieces don't keep to segments."""
+    c, sp, texts = piece_codec.PieceCodec(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL), random_texts(500)
+    c.agenda.splits = False
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.encode(texts)] == sp.encode(texts, add_bos=True, add_eos=True)
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 65_536])
 def test_blocks(planes, n):
@@ -58,10 +74,41 @@ def test_blocks(planes, n):
     assert (token_file.unpack_block(token_file.pack_block(ids, planes)) == ids).all()
 
 
+CAPITALS = "".join(c for c in map(chr, range(0x250)) if c.lower() != c)
+
+
 def test_words_are_the_library():
-    e, texts = token_file.WordEncoder(WORDS), random_texts(3000)
+    r = random.Random(5)
+    e = token_file.WordEncoder(WORDS)
+    texts = [*random_texts(3000), CAPITALS, "x".join(CAPITALS), "ƏLİ GƏLDİ", "Ɛwe ƉƆ", *(f"a{c}b {c}{c} 1{c}" for c in map(chr, range(0x20, 0x2100)))]
+    texts += ["".join(r.choice(token_file._LATIN + " ") for _ in range(r.randint(1, 40))) for _ in range(3000)]
     assert e.fast
-    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
+    kind = "<u2" if e.width == 2 else "<u4"
+    assert [np.frombuffer(x, kind).tolist() for x in e.encode(texts)] == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
+    small = token_file.WordEncoder(WORDS, cache=3)
+    assert [y for i in range(0, 500, 7) for y in small.encode(texts[i : i + 7])] == e.encode(texts[:504])
+
+
+def test_op6_capitals_and_repeated_ids(spark, tmp_path):
+    """Capitals whose small letters lie elsewhere; a third of all rows under one id, and as many under none."""
+    lib = Tokenizer.from_file(WORDS)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"ƏLİ GƏLDİ Ɛwe ƉƆ number {i % 40}", "en", "a") for i in range(300)]
+    got = sorted(token_file.op6_token_file(spark, saved(spark, tmp_path / "d", rows)).collect(), key=lambda r: r.start)
+    ids = {t: [*lib.encode(t, add_special_tokens=False).ids, 1] for _, t, *_ in rows}
+    digest = lambda t: (len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes()))
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(d), *digest(t)) for d, t, *_ in rows)
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order)
+
+
+def test_ranges_part_a_repeated_id():
+    from docloom.llm.common import Ranges
+
+    r = Ranges([3, 7, 7, 7, 9])
+    ties = np.array([0, 1 << 62, 1 << 63, (1 << 64) - 1], np.uint64)
+    assert r.of(np.full(4, 7), ties).tolist() == [2, 2, 3, 4]
+    assert r.of(np.array([1, 3, 4, 8, 9, 10]), np.zeros(6, np.uint64)).tolist() == [0, 0, 1, 5, 5, 6]
 
 
 @pytest.mark.parametrize("planes", ["byte", "bit"])
