@@ -8,14 +8,16 @@ As an automaton: each known context is a state; a seen pair is an arc to the sta
 state's failure arc leads to the root with weight log K / (c(h) + K), and the root has an arc for every word. Texts are traversed once from left
 to right, each carrying its state and its sum; a failure arc is followed where the state has no arc for the word.
 
-Spread over the cluster: documents are cut into blocks of about BLOCK tokens. A block sends its distinct words and pairs (64-bit XXH64 keys,
-with their learning counts) to parts by hash, as packed columns, so that only sums by block are shuffled; a part adds up the counts and sends
-each block the totals of the keys that the block asked for. That is the part of the automaton which the block's texts can reach; it is built
-and traversed there. What is gathered grows with the corpus, and no count is dropped.
-
-Defined cases: null text counts as empty and has the end token alone; documents without words likewise; rows that repeat are scored (and learned)
-each; without learning documents N and V are 0 and every token has base probability 1; a null doc_id counts as the empty text in the held-out
-rule; an empty table gives an empty result; extra columns are ignored.
+Spread over the cluster: documents are cut once into blocks of about BLOCK tokens, which are written as a table (word numbers, the words' 64-bit
+XXH64 keys, lengths). A block sends its distinct words and pairs, with their learning counts, to parts by hash, as packed columns, so that only
+sums by block are shuffled, and nothing to a part that none of its keys falls into; a part adds up the counts and sends each block the totals
+of the keys that the block asked for. The number of parts follows the corpus (PART characters of text each), so a part's size doesn't. The
+totals are the part of the automaton which the block's texts can reach; it is built and traversed there. What is gathered grows with the
+corpus, and no count is dropped.
+
+Defined cases: null text counts as empty and has the end token alone; documents without words likewise; a very long text is a block of its own;
+rows that repeat are scored (and learned) each; without learning documents N and V are 0 and every token has base probability 1; a null doc_id
+counts as the empty text in the held-out rule; equal texts have equal scores; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 
 from docloom.llm.common import parts, remainder, table, written
 
-BLOCK = 1_500_000
+BLOCK, PART = 200_000, 16_000_000
 GROWTH, POWER = 3.0, 0.9
 END = 0  # the end token's key; words have XXH64 keys that are never 0
 
@@ -50,67 +52,96 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Byte planes, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def _unpacked(x: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _keys_sent(keys: np.ndarray, part: int, n: int) -> bytes:
+    """Rising keys of a part: the steps between their quotients by n, whose upper bytes are zero."""
+    return _packed(np.diff((keys - np.uint64(part)) // np.uint64(n), prepend=np.uint64(0)))
+
+
+def _keys_got(x: bytes, part: int, n: int) -> np.ndarray:
+    return np.cumsum(_unpacked(x, "<u8"), dtype=np.uint64) * np.uint64(n) + np.uint64(part)
+
+
 class Block:
-    """Documents as local word numbers; the end token is number 0."""
-
-    def __init__(self):
-        self.numbers: dict[bytes, int] = {b"": 0}
-        self.tokens: list[np.ndarray] = []
-        self.ids: list = []
-        self.held: list[bool] = []
-        self.size = 0
-
-    def add(self, doc_id, text: str | None, held: bool) -> None:
-        words = (text or "").encode().lower().split()
-        numbers = self.numbers
-        for w in set(words).difference(numbers):
-            numbers[w] = len(numbers)
-        self.tokens.append(np.fromiter((numbers[w] for w in words), np.int32, len(words)))
-        self.ids.append(doc_id)
-        self.held.append(held)
-        self.size += len(words) + 1
-
-    def close(self) -> None:
-        """keys: of the words by number; pairs: distinct (first, second) numbers, in order; counts in learning documents."""
-        self.keys = np.fromiter((word_key(w) if w else END for w in self.numbers), np.uint64, len(self.numbers))
-        self.numbers = {}
-        lengths = np.array([len(t) + 1 for t in self.tokens], np.int64)
-        self.ends = np.cumsum(lengths)
-        flat = np.zeros(int(self.ends[-1]), np.int64)
-        mask = np.ones(len(flat), bool)
-        mask[self.ends - 1] = False
-        flat[mask] = np.concatenate(self.tokens)
-        self.tokens = []
-        self.flat = flat
-        learn = np.repeat(~np.array(self.held, bool), lengths)
-        self.word_counts = np.bincount(flat[learn], minlength=len(self.keys))
-        before = np.r_[0, flat[:-1]]  # the end token of the text before, or 0 again: the context of a text's first word
-        code = before * len(self.keys) + flat
-        self.pairs, where = np.unique(code, return_inverse=True)
-        self.pair_counts = np.bincount(where[learn], minlength=len(self.pairs))
-
-
-def blocks(batches):
-    b = Block()
-    for batch in batches:
-        for i, t, h in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "held_out")), strict=True):
-            b.add(i, t, h)
-            if b.size >= BLOCK:
-                b.close()
-                yield b
-                b = Block()
-    if b.ids:
-        b.close()
-        yield b
-
-
-def _asked(b: Block, n: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each part: (part, word numbers, pair places), in the order of their keys."""
+    """Documents as local word numbers; the end token is number 0. flat has all their tokens, ends where each document stops."""
+
+    def __init__(self, flat: np.ndarray, keys: np.ndarray, held: np.ndarray, ends: np.ndarray):
+        self.flat, self.keys, self.held, self.ends = flat.astype(np.int64), keys, held, ends
+        before = np.r_[0, self.flat[:-1]]  # the end token of the text before, or 0 again: the context of a text's first word
+        self.codes = before * len(keys) + self.flat
+        self.pairs = np.unique(self.codes)
+
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        return cls(_unpacked(row["flat"], "<i4"), np.frombuffer(row["keys"], np.uint64), np.array(row["held"], bool), np.array(row["ends"], np.int64))
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """In learning documents, of the words by number and of the pairs."""
+        learn = np.repeat(~self.held, np.diff(np.r_[0, self.ends]))
+        pair_counts = np.bincount(np.searchsorted(self.pairs, self.codes[learn]), minlength=len(self.pairs))
+        return np.bincount(self.flat[learn], minlength=len(self.keys)), pair_counts
+
+
+_TEXTS = "block long, flat binary, keys binary, ids array<long>, held array<boolean>, ends array<long>"
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, held_out) as a written table of blocks."""
+    schema = pa.schema([("block", pa.int64()), ("flat", pa.binary()), ("keys", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("ends", pa.list_(pa.int64()))])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        numbers, flat, ids, held, ends, size = {b"": 0}, [], [], [], [], 0
+
+        def close():
+            keys = np.fromiter((word_key(w) if w else END for w in numbers), np.uint64, len(numbers))
+            row = {"block": number, "flat": _packed(np.concatenate(flat)), "keys": keys.tobytes(), "ids": ids, "held": held, "ends": ends}
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
+        for batch in batches:
+            for i, t, h in zip(*(batch.column(k) for k in ("doc_id", "text", "held_out")), strict=True):
+                words = (t.as_py() or "").encode().lower().split()
+                for w in set(words).difference(numbers):
+                    numbers[w] = len(numbers)
+                words.append(b"")
+                flat.append(np.fromiter(map(numbers.__getitem__, words), "<i4", len(words)))
+                size += len(words)
+                ids.append(i.as_py())
+                held.append(h.as_py())
+                ends.append(size)
+                if size >= BLOCK:
+                    yield close()
+                    number += 1
+                    numbers, flat, ids, held, ends, size = {b"": 0}, [], [], [], [], 0
+        if ids:
+            yield close()
+
+    source = docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
+    return written(source.mapInArrow(run, _TEXTS), "blocks")
+
+
+def _asked(b: Block, n: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]:
+    """For each part that the block has keys of: (part, word numbers, pair places), in the order of their keys; and the pairs' keys."""
     pair = pair_keys(b.keys[b.pairs // len(b.keys)], b.keys[b.pairs % len(b.keys)])
     out, wp, pp = [], (b.keys % np.uint64(n)).astype(np.int64), (pair % np.uint64(n)).astype(np.int64)
     wo, po = np.lexsort((b.keys, wp)), np.lexsort((pair, pp))
     wc, pc = np.searchsorted(wp[wo], np.arange(n + 1)), np.searchsorted(pp[po], np.arange(n + 1))
-    for p in range(n):
+    for p in np.flatnonzero((np.diff(wc) > 0) | (np.diff(pc) > 0)).tolist():
         out.append((p, wo[wc[p] : wc[p + 1]], po[pc[p] : pc[p + 1]]))
     return out, pair
 
@@ -126,31 +157,35 @@ def _large(x: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", "held_out").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
-
-
 _SENT = "part int, block long, words binary, word_counts binary, pairs binary, pair_counts binary"
 _BACK = "block long, part int, words binary, pairs binary, tokens long, kinds long"
 
 
-def totals(docs: DataFrame, n: int) -> DataFrame:
+def _rows(batches):
+    """Rows of batches as dicts, one at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def totals(texts: DataFrame, n: int) -> DataFrame:
     """What each part sends to each block, as a table: counts in the order of the block's keys in the part, and the part's own sums."""
 
     def send(batches):
-        from pyspark import TaskContext
-
-        at = TaskContext.get().partitionId() << 32
-        for k, b in enumerate(blocks(batches)):
+        for row in _rows(batches):
+            b = Block.of(row)
+            word_counts, pair_counts = b.counts()
             asked, pair = _asked(b, n)
-            rows = [(p, at + k, b.keys[w].tobytes(), _small(b.word_counts[w]), pair[q].tobytes(), _small(b.pair_counts[q])) for p, w, q in asked]
-            for lo in range(0, len(rows), 16):
-                cols = list(zip(*rows[lo : lo + 16], strict=True))
+            rows = [(p, row["block"], _keys_sent(b.keys[w], p, n), _small(word_counts[w]), _keys_sent(pair[q], p, n), _small(pair_counts[q])) for p, w, q in asked]
+            for lo in range(0, len(rows), 64):
+                cols = list(zip(*rows[lo : lo + 64], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["part", "block", "words", "word_counts", "pairs", "pair_counts"])
 
     def add(key, group):
+        part = key[0].as_py()
+
         def summed(keys, counts):
-            keys = [np.frombuffer(x, np.uint64) for x in keys]
+            keys = [_keys_got(x, part, n) for x in keys]
             counts = [_large(c, len(k)) for k, c in zip(keys, counts, strict=True)]
             distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(where, np.concatenate(counts), len(distinct)).astype(np.int64)
@@ -160,15 +195,14 @@ def totals(docs: DataFrame, n: int) -> DataFrame:
                 at += len(k)
             return back, total
 
-        g = {c: group.column(c).to_pylist() for c in ("block", "words", "word_counts", "pairs", "pair_counts")}
-        words, sums = summed(g["words"], g["word_counts"])
-        pairs, _ = summed(g["pairs"], g["pair_counts"])
+        words, sums = summed(group.column("words").to_pylist(), group.column("word_counts").to_pylist())
+        pairs, _ = summed(group.column("pairs").to_pylist(), group.column("pair_counts").to_pylist())
         first = [1] + [0] * (len(words) - 1)
         return pa.table(
-            {"block": pa.array(g["block"], pa.int64()), "part": pa.array([key[0].as_py()] * len(words), pa.int32()), "words": pa.array(words, pa.binary()), "pairs": pa.array(pairs, pa.binary()), "tokens": pa.array([int(sums.sum()) * f for f in first], pa.int64()), "kinds": pa.array([int((sums > 0).sum()) * f for f in first], pa.int64())}
+            {"block": group.column("block"), "part": pa.array([part] * len(words), pa.int32()), "words": pa.array(words, pa.binary()), "pairs": pa.array(pairs, pa.binary()), "tokens": pa.array([int(sums.sum()) * f for f in first], pa.int64()), "kinds": pa.array([int((sums > 0).sum()) * f for f in first], pa.int64())}
         )
 
-    sent = _source(docs).mapInArrow(send, _SENT)
+    sent = texts.select("block", "flat", "keys", "held", "ends").mapInArrow(send, _SENT)
     return written(sent.groupBy("part").applyInArrow(add, _BACK), "counts")
 
 
@@ -237,55 +271,38 @@ _RESULT = T.StructType(
 def scores(docs: DataFrame) -> DataFrame:
     """docs: doc_id long, text, held_out (learn from the others). One row per document, as _RESULT."""
     spark = docs.sparkSession
-    n = parts(spark, 2)
-    back = totals(docs, n)
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(parts(spark), -(-chars // PART))
+    texts = blocks(docs)
+    back = totals(texts, n)
     sums = back.agg(F.sum("tokens"), F.sum("kinds")).first()
     tokens, kinds = sums[0] or 0, sums[1] or 0
-
-    def payload(batches):
-        import zstandard
-        from pyspark import TaskContext
-
-        at = TaskContext.get().partitionId() << 32
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for k, b in enumerate(blocks(batches)):
-            row = [[at + k], [-1], [pack(b.flat.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())], [pack(b.keys.tobytes())], [b.ids], [b.held], [b.ends.tolist()]]
-            kinds_of = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds_of, strict=True)], names=names)
-
-    names = ["block", "part", "words", "pairs", "ids", "held", "ends"]
-    own = _source(docs).mapInArrow(payload, "block long, part int, words binary, pairs binary, ids array<long>, held array<boolean>, ends array<long>")
-    answers = back.select("block", "part", "words", "pairs", *[F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("held", "array<boolean>"), ("ends", "array<long>"))])
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("held", "array<boolean>"), ("ends", "array<long>"))]
+    own = texts.select("block", F.lit(-1).alias("part"), F.col("flat").alias("words"), F.col("keys").alias("pairs"), "ids", "held", "ends")
+    answers = back.select("block", "part", "words", "pairs", *none)
 
     def score(key, group):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
         rows = {p: i for i, p in enumerate(group.column("part").to_pylist())}
         at = lambda c, p: group.column(c)[rows[p]].as_py()
-        b = Block()
-        b.flat = np.frombuffer(unpack(at("words", -1)), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64)
-        b.keys = np.frombuffer(unpack(at("pairs", -1)), np.uint64)
-        ids, held, ends = at("ids", -1), at("held", -1), np.array(at("ends", -1), np.int64)
-        before = np.r_[0, b.flat[:-1]]
-        b.pairs = np.unique(before * len(b.keys) + b.flat)
+        ids, held = at("ids", -1), at("held", -1)
+        b = Block.of({"flat": at("words", -1), "keys": at("pairs", -1), "held": held, "ends": at("ends", -1)})
         counts, pair_counts = np.zeros(len(b.keys), np.int64), np.zeros(len(b.pairs), np.int64)
         for p, w, q in _asked(b, n)[0]:
             counts[w] = _large(at("words", p), len(w))
             pair_counts[q] = _large(at("pairs", p), len(q))
         a = Automaton(len(b.keys), counts, b.pairs, pair_counts, tokens, kinds)
-        starts = np.r_[0, ends[:-1]]
+        starts = np.r_[0, b.ends[:-1]]
         base = np.add.reduceat(a.unigram[b.flat], starts)
         known = np.add.reduceat((counts[b.flat] > 0).astype(np.int64), starts)
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()),
                 "held_out": pa.array(held, pa.bool_()),
-                "n_tokens": pa.array(ends - starts),
+                "n_tokens": pa.array(b.ends - starts),
                 "n_known": pa.array(known),
                 "train_tokens": pa.array([tokens] * len(ids), pa.int64()),
                 "base_score": pa.array(base),
-                "score": pa.array(a.traverse(b.flat, ends)),
+                "score": pa.array(a.traverse(b.flat, b.ends)),
             }
         )
 

@@ -33,8 +33,11 @@ def brute_lm(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("where", ["edge", "table"])
-def test_op4(spark, tmp_path, monkeypatch, where):
+@pytest.mark.parametrize(("where", "block"), [("edge", None), ("edge", 60), ("table", None), ("table", 900)])
+def test_op4(spark, tmp_path, monkeypatch, where, block):
+    if block:  # many blocks, and many parts for each
+        monkeypatch.setattr(lm_automaton, "BLOCK", block)
+        monkeypatch.setattr(lm_automaton, "PART", 20_000)
     folder = DATA if where == "table" else saved(spark, tmp_path / "d")
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     got = sorted(((*r[:5], round(r[5], 4), round(r[6], 4)) for r in lm_automaton.op4_lm_automaton(spark, folder).collect()), key=str)
@@ -163,3 +166,7 @@ def test_query_batches_agree(spark):
     small = additive_ann.Settings(books=4, words=16, rounds=1, query_rows=16)
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(additive_ann.search(v, q, 5, s)) == key(additive_ann.search(v, q, 5, small))
+
+
+def test_op4_empty(spark, tmp_path):
+    assert lm_automaton.op4_lm_automaton(spark, saved(spark, tmp_path / "d", [])).count() == 0
