@@ -52,36 +52,71 @@ def remainder(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: The place of a null id in an order of longs.
+LEAST_LONG = -(1 << 63)
+
+
 def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
-    """At most n - 1 rising cut points that deal the column's values into n ranges of about equal row counts. n is a degree of parallelism
-    (at most 8192), so what the driver gets is bounded; every row falls into one range, whatever the cuts are."""
+    """n - 1 cut points, in order, that deal the column's values (null as the least long) into n ranges of about equal row counts; a value that
+    holds several ranges' rows stands there as often. n is a degree of parallelism (at most 8192), so what the driver gets is bounded; every
+    row falls into one range, whatever the cuts are."""
     n = max(1, min(n, 8192))
     if n == 1:
         return []
-    cuts = df.select(F.percentile_approx(F.col(column), [i / n for i in range(1, n)], max(10_000, 8 * n))).first()[0]
-    return sorted({int(c) for c in cuts or []})
-
-
-def in_range(bounds: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The range of each id: 0 up to and with the first cut, and so on."""
-    return np.searchsorted(bounds, ids, side="left")
+    value = F.coalesce(F.col(column).cast("long"), F.lit(LEAST_LONG))
+    cuts = df.select(F.percentile_approx(value, [i / n for i in range(1, n)], max(10_000, 8 * n))).first()[0]
+    return [int(c) for c in cuts or []]
+
+
+class Ranges:
+    """Ranges of (id, tie) by the cuts of range_bounds(). An id that is cut more than once has ranges of its own, as many, by the rank of its
+    rows' tie (an unsigned 64-bit hash): repeated ids don't meet in one task."""
+
+    def __init__(self, bounds: list[int]):
+        self.cuts, times = np.unique(np.array(bounds, np.int64), return_counts=True)
+        self.own = np.where(times > 1, times, 0)
+        self.base = np.r_[0, np.cumsum(1 + self.own)]
+
+    def of(self, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.cuts, ids, side="left")
+        out = self.base[at]
+        if self.own.any():
+            near = np.minimum(at, len(self.cuts) - 1)
+            hot = (at < len(self.cuts)) & (self.cuts[near] == ids) & (self.own[near] > 0)
+            part = (ties[hot] >> np.uint64(32)) * self.own[near[hot]].astype(np.uint64) >> np.uint64(32)
+            out[hot] += 1 + part.astype(np.int64)
+        return out
 
 
 class Generations:
-    """A cache of bounded size: when the young generation is full it becomes the old one; what is used again moves over."""
+    """A cache of bounded size, by entries and by their keys' characters: when the young generation is full it becomes the old one; what is used
+    again moves over."""
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
+    def __init__(self, limit: int, chars: int | None = None):
+        self.limit, self.chars, self.held, self.young, self.old = limit, chars or 24 * limit, 0, {}, {}
 
     def missing(self, keys) -> list:
-        """The distinct keys that neither generation holds; those in the old one move to the young one."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+        """The distinct keys (strings) that neither generation holds; those in the old one move to the young one."""
+        if len(self.young) > self.limit or self.held > self.chars:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old, out = self.young, self.old, []
-        for k in set(keys).difference(young):
+        fresh = (keys if isinstance(keys, set) else set(keys)).difference(young)
+        for k in fresh:
             v = old.get(k)
             if v is None:
                 out.append(k)
             else:
                 young[k] = v
+        self.held += sum(map(len, fresh))
         return out
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no such column."""
+    held, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in held:
+            n += "_"
+        held.add(n.lower())
+        out.append(n)
+    return out

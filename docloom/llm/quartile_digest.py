@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import in_range, parts, range_bounds, table
+from docloom.llm.common import LEAST_LONG, Ranges, parts, range_bounds, table
 
 BUCKETS, LIMIT = 256, 480
 _PAIRS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
@@ -89,7 +89,7 @@ def fingerprints(df: DataFrame, text: str = "text", into: str = "fingerprint") -
     return df.mapInArrow(run, schema)
 
 
-_NONE = -(1 << 63)
+_NONE = LEAST_LONG
 
 
 def with_successor(docs: DataFrame, each, schema: T.StructType) -> DataFrame:
@@ -100,12 +100,13 @@ def with_successor(docs: DataFrame, each, schema: T.StructType) -> DataFrame:
 
     spark = docs.sparkSession
     bounds = range_bounds(docs, "doc_id", 4 * parts(spark))
-    cuts = np.array(bounds, np.int64)
+    cuts = Ranges(sorted(set(bounds)))
+    none = lambda n: np.zeros(n, np.uint64)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"))
 
     def ranged(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(in_range(cuts, b.column("doc_id").to_numpy()).astype("i4")), b.column("doc_id")], names=["range", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(cuts.of(b.column("doc_id").to_numpy(), none(b.num_rows)).astype("i4")), b.column("doc_id")], names=["range", "doc_id"])
 
     # at most 8192 rows: the largest id of each range that has rows
     tops = sorted((r["range"], r["top"]) for r in ids.mapInArrow(ranged, "range int, doc_id long").groupBy("range").agg(F.max("doc_id").alias("top")).collect())
@@ -121,7 +122,7 @@ def with_successor(docs: DataFrame, each, schema: T.StructType) -> DataFrame:
         for b in batches:
             ids = b.column("doc_id").to_numpy()
             texts = b.column("text").to_pylist()
-            ranges = in_range(cuts, ids)
+            ranges = cuts.of(ids, none(len(ids)))
             for lo in range(0, len(texts), 500):
                 rows = []
                 for r, i, t in zip(ranges[lo : lo + 500].tolist(), ids[lo : lo + 500].tolist(), texts[lo : lo + 500], strict=True):
