@@ -3,9 +3,11 @@
 Targets. Sources share `share` of all words by weight; a source's target stops at `cap` times its size, and what is over goes to the others by
 weight until none is above. In order of cap / weight the capped sources come first, so running sums settle all of it at once.
 
-Quotas. Each source's documents are dealt to BLOCKS blocks by hash. Whole passes take every block; the last pass takes the first blocks of a hashed
-permutation, and of the block that the target ends in its first documents in hashed order, so that the words taken differ from the target by
-less than a document; of TRIES such permutations the one that ends nearest is used. The draws (block, pass) are the source's quota.
+Quotas. Each source's documents are dealt to blocks by a hash of doc_id and text; a source has a block for every `per_block` of its documents,
+rounded to a power of two and 1024 at least. Whole passes take every block; the last pass takes the first blocks of a hashed permutation, and of
+the block that the target ends in its first documents in hashed order, so that the words taken differ from the target by less than a document;
+of TRIES such permutations the one that ends nearest is used. Rows that repeat doc_id and text stand together there, and as many of them are
+taken as come nearest. The draws (block, pass) are the source's quota.
 
 Splitting tree. The quotas of all sources are split between the two halves of the shards, then each half's between its halves, and so on; a
 split draws, source by source, how many of the source's draws go left: of the places still open on the left, one is taken with the chance that
@@ -13,8 +15,9 @@ the urn without replacement gives, place by place, from hashed uniforms. Quotas
 A shard then takes the next draws of the source's permuted sequence, disjoint from the others', and shuffles its documents by hash.
 
 Everything follows from the seed: reruns agree. Defined cases: null text has no words; a null source is a source of its own, sorted last; documents
-without words are never taken; a source without words has target 0; rows that repeat (doc_id, source) and size are dealt and taken one by one
-in one order; an empty table gives an empty result; extra columns are ignored.
+without words are never taken; a source without words has target 0; rows that share a doc_id (or have none) part by their texts; of rows that
+share the text too, each has its turn, and which of them it is makes no difference; a very long text is one document like others; equal
+hashes go by doc_id; an empty table gives an empty result; extra columns are ignored, or kept by mixed().
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import WORD, checkpointed, table
 
-BLOCKS, TRIES = 1024, 16
+BLOCKS, PER_BLOCK, TRIES = 1024, 1_000_000, 16
 _WHOLE = (Window.unboundedPreceding, 0)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size in words, x (hash of the text), and more."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("x"), *more)
 
 
 def _hash(seed: int, *columns) -> Column:
@@ -62,18 +66,28 @@ def _small(df: DataFrame) -> DataFrame:
     return checkpointed(df.coalesce(4))
 
 
-def blocked(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with block: the document's, in its source."""
-    return docs.withColumn("block", F.pmod(_hash(seed, "doc_id"), F.lit(BLOCKS)).cast("int"))
+def spread(docs: DataFrame, per_block: int, least: int) -> Column:
+    """Blocks of a row's source. The driver gets the sources that need more than `least`: one for every per_block * least rows at most."""
+    counts = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n")).where(F.col("n") > per_block * least)
+    out = F.lit(least)
+    for r in counts.orderBy("n", "source").collect():
+        out = F.when(F.col("source").eqNullSafe(F.lit(r["source"])), F.lit(1 << (-(-r["n"] // per_block) - 1).bit_length())).otherwise(out)
+    return out
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: int = 17, shards: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, source, size, block; blocks: source, block, source_size, target, passes, within, words, upto, shards). A block's
-    shards are those of its draws, pass after pass; upto is the hash up to which documents of the block that the target ends in are taken."""
-    own = checkpointed(blocked(sized(docs), seed))
+def blocked(rows: DataFrame, seed: int, n_blocks: Column) -> DataFrame:
+    """rows (as sized() gives them) with block: the document's, in its source."""
+    return rows.withColumn("block", F.pmod(_hash(seed, "doc_id", "x"), n_blocks).cast("int"))
+
+
+def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: int = 17, shards: int = 16, n_blocks: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents: doc_id, source, size, x, block; blocks: source, block, source_size, target, passes, within, words, upto, part, shards). A
+    block's shards are those of its draws, pass after pass; upto is the hash up to which documents of the block that the target ends in are
+    taken, part the hash of repeated rows of which only the first `n` are."""
+    own = checkpointed(blocked(sized(docs), seed, spread(docs, PER_BLOCK, BLOCKS) if n_blocks is None else n_blocks))
     blocks = own.groupBy("source", "block").agg(F.sum("size").alias("words"))
     goal = targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap).withColumnRenamed("source", "s")
-    # at most BLOCKS rows a source from here on
+    # a row for each block of a source from here on
     dealt = blocks.join(goal, F.col("source").eqNullSafe(F.col("s"))).select("source", "block", "words", "source_size", "target")
     dealt = dealt.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     dealt = dealt.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
@@ -88,10 +102,18 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     cut = (F.col("within") > 0) & (F.col("within") < F.col("words"))
     # only the block that the target ends in is put in order
     ends = dealt.where(cut).select(F.col("source").alias("s"), F.col("block").alias("b"), "turn", "within")
-    ended = own.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).withColumn("h", _hash(seed + 2, "turn", "doc_id"))
-    running = Window.partitionBy("s", "b", "turn").orderBy("h", "doc_id", "size").rowsBetween(*_WHOLE)
-    ended = ended.withColumn("so_far", F.sum("size").over(running)).withColumn("in_rest", F.col("so_far") - F.col("size") / 2 <= F.col("within"))
-    upto = _small(ended.groupBy("s", "b", "turn", "within").agg(F.max(F.when(F.col("in_rest"), F.col("h"))).alias("upto"), F.sum(F.when(F.col("in_rest"), F.col("size")).otherwise(0)).alias("got")))
+    ended = own.where("size > 0").join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).withColumn("h", _hash(seed + 2, "turn", "doc_id", "x"))
+    # rows that repeat doc_id and text: `copies` of one
+    ended = ended.groupBy("s", "b", "turn", "within", "h", "doc_id", "x", "size").agg(F.count("*").alias("copies")).withColumn("all", F.col("size") * F.col("copies"))
+    running = Window.partitionBy("s", "b", "turn").orderBy("h", "doc_id", "x", "size").rowsBetween(*_WHOLE)
+    before = F.sum("all").over(running) - F.col("all")
+    ended = ended.withColumn("n", F.greatest(F.lit(0), F.least(F.col("copies"), F.floor((F.col("within") - before) / F.col("size") + 0.5))).cast("long"))
+    some = (F.col("n") > 0) & (F.col("n") < F.col("copies"))
+    upto = _small(
+        ended.groupBy("s", "b", "turn", "within").agg(
+            F.max(F.when(F.col("n") == F.col("copies"), F.col("h"))).alias("upto"), F.max(F.when(some, F.struct("h", "n"))).alias("part"), F.sum(F.col("n") * F.col("size")).alias("got")
+        )
+    )
     off = upto.select("s", F.struct(F.abs(F.col("got") - F.col("within")).alias("off"), "turn").alias("best"))
     best = off.groupBy("s").agg(F.min("best")["turn"].alias("chosen")).withColumnRenamed("s", "c")
     dealt = dealt.join(best, F.col("source").eqNullSafe(F.col("c")), "left").where(F.col("turn") == F.coalesce("chosen", F.lit(0))).drop("c", "chosen")
@@ -104,22 +126,29 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     placed = each.join(cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("draw") >= F.col("first")) & (F.col("draw") < F.col("first") + F.col("count")))
     placed = placed.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("shards"))
     keyed = dealt.select("source", "block", "source_size", "target", "passes", "within", "words", "turn")
-    upto, placed = upto.select(F.col("s").alias("us"), F.col("b").alias("ub"), F.col("turn").alias("ut"), "upto"), placed.select(F.col("source").alias("ps"), F.col("block").alias("pb"), "shards")
+    upto, placed = upto.select(F.col("s").alias("us"), F.col("b").alias("ub"), F.col("turn").alias("ut"), "upto", "part"), placed.select(F.col("source").alias("ps"), F.col("block").alias("pb"), "shards")
     keyed = keyed.join(upto, F.col("source").eqNullSafe(F.col("us")) & (F.col("block") == F.col("ub")) & (F.col("turn") == F.col("ut")), "left").drop("us", "ub", "ut")
     keyed = keyed.join(placed, F.col("source").eqNullSafe(F.col("ps")) & (F.col("block") == F.col("pb")), "left").drop("ps", "pb")
     return own, _small(keyed)
 
 
 def placed(rows: DataFrame, blocks: DataFrame, seed: int, most: int = 100_000) -> DataFrame:
-    """rows (doc_id, source, size, block and more) with source_size, target and shards: one for every time the mix takes the row. blocks is
+    """rows (as blocked() gives them, and more) with source_size, target and shards: one for every time the mix takes the row. blocks is
     broadcast only if it has at most `most` rows."""
+    kept = [c for c in rows.columns if c != "block"]
     side = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), *[c for c in blocks.columns if c not in ("source", "block")])
     side = F.broadcast(side) if blocks.count() <= most else side
-    out = rows.join(side, F.col("source").cast("string").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
-    in_rest = (F.col("within") >= F.col("words")) | F.coalesce(_hash(seed + 2, "turn", "doc_id") <= F.col("upto"), F.lit(False))
-    in_rest = in_rest & (F.col("within") > 0)
-    times = F.when(F.col("size") > 0, F.col("passes") + in_rest.cast("long")).otherwise(0).cast("int")
-    return out.withColumn("shards", F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), times)).drop("passes", "within", "words", "upto", "block", "turn")
+    out = rows.join(side, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).withColumn("h", _hash(seed + 2, "turn", "doc_id", "x"))
+    in_rest = (F.col("within") >= F.col("words")) | F.coalesce(F.col("h") <= F.col("upto"), F.lit(False))
+    repeated = F.coalesce(F.col("h") == F.col("part.h"), F.lit(False))
+    if blocks.where("part is not null").limit(1).count():  # rows that are alike, of which some are taken
+        nth = F.row_number().over(Window.partitionBy("s", "b").orderBy("h"))
+        some = out.where(repeated & (F.col("size") > 0)).withColumn("rest", nth <= F.col("part.n"))
+        out = out.where(~repeated | (F.col("size") == 0)).withColumn("rest", in_rest).unionByName(some)
+    else:
+        out = out.withColumn("rest", in_rest)
+    times = F.when(F.col("size") > 0, F.col("passes") + (F.col("rest") & (F.col("within") > 0)).cast("long")).otherwise(0).cast("int")
+    return out.select(*kept, "source_size", "target", F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), times).alias("shards"))
 
 
 def splits(dealt: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
@@ -169,12 +198,21 @@ def splits(dealt: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
 
 
 def mixed(docs: DataFrame, shards: int = 16, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: int = 17) -> DataFrame:
-    """docs' columns and size, source_size, target, copy (from 0), shard, position (the hashed place by which a shard is put in order): a row
-    for every time the mix takes a document. Texts aren't shuffled."""
-    _, blocks = plan(docs, weights, share, cap, seed, shards)
-    rows = blocked(docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")), seed)
-    out = placed(rows, blocks, seed).select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
-    return out.withColumn("position", _hash(seed + 4, "shard", "doc_id", "copy"))
+    """docs' columns and size, source_size, target, copy (from 0), shard, position (the hashed place by which a shard is put in order), in place
+    of columns of those names: a row for every time the mix takes a document. Texts aren't shuffled."""
+    n_blocks = spread(docs, PER_BLOCK, BLOCKS)
+    _, blocks = plan(docs, weights, share, cap, seed, shards, n_blocks)
+    rows = blocked(sized(docs, F.struct(*docs.columns).alias("row")), seed, n_blocks)
+    out = placed(rows, blocks, seed).select("row", "doc_id", "x", "size", "source_size", "target", F.posexplode("shards").alias("copy", "shard"))
+    new = ["size", "source_size", "target", "copy", "shard", _hash(seed + 4, "shard", "doc_id", "x", "copy").alias("position")]
+    own = ("size", "source_size", "target", "copy", "shard", "position")
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in own], *new)
+
+
+def in_shards(mix: DataFrame, files: int) -> DataFrame:
+    """mixed()'s rows in the order of shard and position: a partition holds a run of that order, so that a shard is some whole files and the
+    ends of two, each in shuffled order; no partition follows a shard's size."""
+    return mix.repartitionByRange(files, "shard", "position").sortWithinPartitions("shard", "position")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str, seed: int = 17) -> DataFrame:
