@@ -5,13 +5,15 @@ are sorted by Gray rank, so that neighbours share bits; leaves are grouped by ei
 parent doesn't (a mask and a pattern). A search goes down with the differences accumulated so far, leaves out every group whose count is over
 the limit, and takes a group whole when even its unshared bits can't bring it over.
 
-To spread the work, the index is built once for each of `limit + 1` rotations of the bits; the top nodes of a rotation are those that share its
-leading band of bits, and are the shuffle's key. Two fingerprints that differ in at most `limit` bits agree in one band, so that they meet
-below one top node of some rotation: no link is lost. Top nodes with more than `most` fingerprints are cut into salted blocks that meet
-pairwise. A task hands on a spanning forest of its links, not the links themselves.
+To spread the work, the bits are cut into `limit + k` bands and the index is built once for each choice of k of them: fingerprints that agree in
+the chosen bands share a top node, which is the shuffle's key. Two fingerprints that differ in at most `limit` bits agree in k bands, so that
+they meet below a top node of some choice: no link is lost. k grows with the table (5 choices of 12 bits, 15 of 20, 35 of 27, 70 of 32), so
+that top nodes don't, and the links are the same for every k. Top nodes with more than `most` fingerprints are cut into salted blocks that
+meet pairwise. A task hands on a spanning forest of its links, not the links themselves.
 
 For a similarity of 0.8 over shingles, as a near-duplicate stage needs it, 64 bits and 4 differences are too few: similar_links() indexes 256-bit
-fingerprints in the same way, through more turns: pairs of short segments, as many and as wide at every size of the table.
+fingerprints in the same way, through more turns, each by some bits at random places. Wider turns keep top nodes small in large tables; as each
+is met by fewer pairs there are more of them, so that a pair's chance to meet is the same at every size.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero and link like others; rows with equal text share a
 fingerprint; rows that repeat a doc_id are one document if their texts are equal, else each has its own fingerprint; a null doc_id takes
@@ -21,7 +23,7 @@ part and gives its component the null id only if nothing else is in it; an empty
 from __future__ import annotations
 
 import math
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -224,28 +226,62 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = nxt
 
 
-def near_links(fps: DataFrame, limit: int = 4, most: int = 20_000) -> DataFrame:
+def bands(limit: int, k: int) -> list[list[tuple[int, int]]]:
+    """The choices of k of limit + k bands of a 64-bit word, a band being (first bit, bits)."""
+    cuts = [64 * i // (limit + k) for i in range(limit + k + 1)]
+    return [list(x) for x in combinations([(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], k)]
+
+
+def bands_for(count: int, limit: int, most: int) -> int:
+    """The least k by which `count` fingerprints, spread evenly, make top nodes of less than a quarter of `most`; 4 at most (keys of 32 bits)."""
+    return next((k for k in (1, 2, 3) if count < (most // 4) << min(sum(w for _, w in x) for x in bands(limit, k))), 4)
+
+
+def near_links(fps: DataFrame, limit: int = 4, most: int = 20_000, k: int | None = None) -> DataFrame:
     """fps: fp (long, distinct). Links (a, b) with the same components as all pairs of at most `limit` different bits."""
-    bands = limit + 1
-    width = 64 // bands
-    tops = [F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << (width if i < limit else 64 - i * width)) - 1)) for i in range(bands)]
-    turns = [(64 - (i + 1) * width) % 64 if i < limit else 0 for i in range(bands)]  # brings the band to the front
-    return _linked_below(fps.select(F.col("fp").alias("id"), "fp"), ("fp",), tops, turns, limit, most)
+    tops = []
+    for choice in bands(limit, bands_for(fps.count(), limit, most) if k is None else k):
+        top = F.lit(0).cast("long")
+        for first, width in choice:
+            top = F.shiftleft(top, width).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1)))
+        tops.append(top)
+    keyed = fps.select(F.col("fp").alias("id"), "fp", F.posexplode(F.array(*tops)).alias("turn", "top"))
+    return _linked_below(keyed, ("fp",), limit, most)
+
+
+#: Times that a pair at the similarity in question meets on the average.
+MEETINGS = 6.0
 
 
-#: Bits of a segment, segments of a fingerprint word, and how far apart the two segments of a turn stand.
-SEGMENT, IN_WORD, STEPS = 7, 9, (1, 5)
+def turns_for(count: int, share: float) -> tuple[int, int]:
+    """(bits, turns) for so many fingerprints, of which the wanted pairs differ in this share of the bits: 14 bits up to 2 ** 18, then one more
+    for every fourfold count; as many turns as let such a pair meet MEETINGS times on the average."""
+    width = 14 + max(0, (max(count - 1, 1).bit_length() - 17) // 2)
+    return width, math.ceil(MEETINGS / (1 - share) ** width)
 
 
-def similar_links(fps: DataFrame, names: tuple[str, ...], limit: int, most: int = 20_000) -> DataFrame:
-    """fps: id, and the words of distinct fingerprints. Links (a, b) of ids of at most `limit` different bits, found below top nodes of 14 bits:
-    two segments of a fingerprint, in 72 turns that share no more than one segment. What two fingerprints share decides alone whether they
-    meet, whatever else the table holds and however much of it; of pairs that differ in a share d of the bits about
-    1 - (1 - (1 - d) ** 14) ** 72 do, somewhat fewer as turns share segments. Nodes grow with the table instead, and large ones are salted."""
-    n = IN_WORD * len(names)
-    segments = [F.shiftrightunsigned(names[i // IN_WORD], SEGMENT * (i % IN_WORD)).bitwiseAND(F.lit((1 << SEGMENT) - 1)) for i in range(n)]
-    tops = [F.shiftleft(segments[i], SEGMENT).bitwiseOR(segments[(i + step) % n]) for step in STEPS for i in range(n)]
-    return _linked_below(fps, names, tops, [0] * len(tops), limit, most, 400_000)  # a loose limit cuts little of the tree
+def similar_links(fps: DataFrame, names: tuple[str, ...], limit: int, share: float, most: int = 20_000, count: int | None = None) -> DataFrame:
+    """fps: id, and the words of distinct fingerprints. Links (a, b) of ids of at most `limit` different bits, found below top nodes of some bits
+    at random places, in turns as turns_for() says. A pair that differs in a share d of the bits, as wide as `share` or less, meets with a
+    chance of about 1 - exp(-MEETINGS) or more, whatever else the table holds and however much of it."""
+    width, turns = turns_for(fps.count() if count is None else count, share)
+    rng = np.random.RandomState(2)
+    places = np.stack([rng.permutation(64 * len(names))[:width] for _ in range(turns)])
+    schema = "id long, " + ", ".join(f"{n} long" for n in names) + ", tops array<long>"
+
+    def run(batches):
+        for b in batches:
+            words = np.stack([b.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+            for lo in range(0, len(words), 4096):
+                part = words[lo : lo + 4096]
+                tops = np.zeros((len(part), turns), np.uint64)
+                for at in places.T:  # a bit of every turn
+                    tops = tops << np.uint64(1) | part[:, at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype="i4") * turns), pa.array(tops.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, 4096) for c in ("id", *names)), rows], names=["id", *names, "tops"])
+
+    keyed = fps.select("id", *names).mapInArrow(run, schema).select("id", *names, F.posexplode("tops").alias("turn", "top"))
+    return _linked_below(keyed, names, limit, most, 400_000)  # a loose limit cuts little of the tree
 
 
 def _blocks():
@@ -254,10 +290,9 @@ def _blocks():
     return F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda j: F.least(own, j) * F.col("salts") + F.greatest(own, j)))
 
 
-def _linked_below(fps: DataFrame, names: tuple[str, ...], tops: list, turns: list[int], limit: int, most: int, budget: int = 4_000_000) -> DataFrame:
-    """Links (a, b) of ids between fingerprints of at most `limit` different bits that share a top node of some turn."""
-    spark = fps.sparkSession
-    keyed = fps.select("id", *names, F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), t.alias("top")) for i, t in enumerate(tops)])).alias("k")).select("id", *names, "k.turn", "k.top")
+def _linked_below(keyed: DataFrame, names: tuple[str, ...], limit: int, most: int, budget: int = 4_000_000) -> DataFrame:
+    """keyed: id, the fingerprint's words, turn, top. Links (a, b) of ids of at most `limit` different bits that share a top node of some turn."""
+    spark = keyed.sparkSession
     sizes = keyed.groupBy("turn", "top").agg(F.count("*").alias("n")).where(F.col("n") > most).withColumn("salts", F.ceil(F.col("n") / (most / 2)).cast("int")).drop("n")
     # at most one large node for `most` keyed rows, so few that they are broadcast; rows of a large top node go to every pair of blocks that their own block is in
     salted = keyed.join(F.broadcast(sizes), ["turn", "top"], "left").withColumn("blocks", _blocks())
@@ -271,9 +306,7 @@ def _linked_below(fps: DataFrame, names: tuple[str, ...], tops: list, turns: lis
             cut = len(ids) if last else int(np.flatnonzero(new)[-1])
             group = np.cumsum(new)[:cut]
             bits = np.stack([x[:cut] for x in rows[4:]], axis=1).view(np.uint64)
-            by = np.array(turns, np.uint64)[turn[:cut]][:, None]
-            turned = np.where(by > 0, bits << by | bits >> (np.uint64(64) - by) % np.uint64(64), bits)
-            order = gray_order(turned, group)
+            order = gray_order(bits, group)
             ids = ids[:cut][order]
             root = links(bits[order], group[order], limit, budget)
             apart = np.flatnonzero(root != np.arange(cut))
@@ -305,9 +338,14 @@ def near_components(docs: DataFrame, words: int = 5, limit: int = 4, text: str =
     return own.join(named, "fp").select("doc_id", *keep, "fp", "component_id", "root")
 
 
+def different_share(similarity: float) -> float:
+    """Expected share of different bits of SimHashes of two shingle sets with this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 def bits_of_similarity(similarity: float, bits: int) -> int:
     """Most different bits of SimHashes of two shingle sets with this Jaccard similarity: the expected number and three standard deviations."""
-    d = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    d = different_share(similarity)
     return int(bits * d + 3 * math.sqrt(bits * d * (1 - d)))
 
 
@@ -397,7 +435,7 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     own = checkpointed(set_prints(docs, words, text, ("doc_id", *keep, "_x")))
     one = F.max(F.struct("doc_id", "_x")).alias("one")  # a document with the set; null ids are the least
     distinct = checkpointed(own.groupBy("id").agg(one, *(F.first(c).alias(c) for c in ("n", *WIDE))))
-    proposed = components(similar_links(distinct.select("id", *WIDE), WIDE, bits_of_similarity(similarity, 64 * len(WIDE)))).withColumnRenamed("key", "id")
+    proposed = components(similar_links(distinct.select("id", *WIDE), WIDE, bits_of_similarity(similarity, 64 * len(WIDE)), different_share(similarity))).withColumnRenamed("key", "id")
     held = distinct.join(proposed, "id").select("id", "n", "root", F.col("one.doc_id").alias("_d"), F.col("one._x").alias("_h"))
     texts = checkpointed(docs.select("doc_id", "_x", text).join(held, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h"))).select("id", "n", "root", text))
     stars = components(verified_links(texts, words, similarity, text, most)).select(F.col("key").alias("id"), "root")
@@ -406,14 +444,14 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """docs' rows that stay: of each component the row with the smallest doc_id (null last), then the smallest hash of its text."""
-    hashed = docs.withColumn("_t", F.xxhash64(text))
-    found = similar_components(hashed, words, similarity, text, ("_t",))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_t"), F.struct(*docs.columns).alias("row"))
+    found = similar_components(own.select("doc_id", "text", "_t"), words, similarity, "text", ("_t",))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("_t").alias("t"))
     stay = found.groupBy("root").agg(F.min(order).alias("s")).select(F.when(~F.col("s.n"), F.col("s.d")).alias("_d"), F.col("s.t").alias("_h"))
-    kept = hashed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_semi")
+    kept = own.join(stay, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_semi")
     # rows that repeat doc_id and text
     first = F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("_t"))
-    return kept.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    return kept.withColumn("_n", first).where("_n = 1").select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

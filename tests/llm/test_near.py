@@ -1,6 +1,9 @@
+import math
+
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from docloom.llm import components, simhash_index
 from docloom.llm.simhash_index import _join
@@ -38,15 +41,15 @@ def test_tree_loses_no_link(n):
     assert (simhash_index.links(f[:, None], group, 4, 500) == _join(np.arange(len(f)), a, b)).all()
 
 
-@pytest.mark.parametrize("most", [20_000, 40])
-def test_hot_top_nodes_are_salted_without_loss(spark, most):
+@pytest.mark.parametrize(("most", "k"), [(20_000, None), (40, None), (20_000, 2), (20_000, 4)])
+def test_hot_top_nodes_are_salted_without_loss(spark, most, k):
     rng = np.random.default_rng(5)
     f = np.full(600, 0x123456789ABCDEF, np.uint64)
     for _ in range(5):
         f = f ^ (np.uint64(1) << rng.integers(0, 64, len(f)).astype(np.uint64))
     f = np.unique(np.r_[f, rng.integers(0, 1 << 63, 300).astype(np.uint64)])
     df = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")
-    stars = components.components(simhash_index.near_links(df, 4, most)).collect()
+    stars = components.components(simhash_index.near_links(df, 4, most, k)).collect()
     root = {r.key: r.root for r in stars}
     signed = f.view(np.int64)
     want = brute_roots(f, 4)
@@ -82,25 +85,29 @@ def test_similar_texts_link_and_others_do_not(spark):
     assert {d for d in range(0, 120, 2)} <= kept and len(kept) <= 63
 
 
-def test_links_do_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+def test_keys_grow_with_the_table():
+    of = simhash_index.bands_for
+    assert [of(n, 4, 20_000) for n in (10, 10**7, 10**8, 10**10, 10**13)] == [1, 1, 2, 3, 4]
+    for k in (1, 2, 3, 4):
+        choices = simhash_index.bands(4, k)
+        assert len(choices) == math.comb(4 + k, k) and all(len(x) == k for x in choices)
+    assert [simhash_index.turns_for(n, 0.1515) for n in (1000, 1 << 18, 12_000_000, 4 * 10**10)] == [(14, 60), (14, 60), (17, 98), (23, 263)]
+
+
+@pytest.mark.parametrize("count", [1_000, 12_000_000])  # as many as 30 GB have
+def test_links_do_not_depend_on_the_size_of_the_table(spark, count):
     rng = np.random.default_rng(12)
-    pairs, limit = 1500, 56
+    pairs, share = 1500, simhash_index.different_share(0.8)
+    limit = simhash_index.bits_of_similarity(0.8, 256)
     left = rng.integers(0, 256, (pairs, 32), dtype=np.uint8)
-    flips = rng.random((pairs, 256)) < 0.1515  # the share of different bits at a similarity of 0.8
+    flips = rng.random((pairs, 256)) < share
     right = left ^ np.packbits(flips, axis=1)
-    others = rng.integers(0, 256, (20_000, 32), dtype=np.uint8)
     names = simhash_index.WIDE
-
-    def found(*tables):
-        words = np.concatenate(tables).view(np.int64)
-        df = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words)], "id long, " + ", ".join(f"{n} long" for n in names))
-        return {(min(r), max(r)) for r in simhash_index.similar_links(df, names, limit).distinct().collect()}
-
-    small, large = found(left, right), found(left, right, others)
-    monkeypatch.setattr(type(spark.range(1)), "count", lambda self: 12_000_000)  # as many as 30 GB have
-    assert small == large == found(left, right)
+    words = np.concatenate([left, right]).view(np.int64)
+    df = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words)], "id long, " + ", ".join(f"{n} long" for n in names))
+    found = {(min(r), max(r)) for r in simhash_index.similar_links(df, names, limit, share, count=count).distinct().collect()}
     within = {(i, pairs + i) for i in np.flatnonzero(flips.sum(axis=1) <= limit).tolist()}
-    assert small <= within and len(small) >= 0.98 * len(within)
+    assert found <= within and len(within) > 0.99 * pairs and len(found) >= 0.97 * pairs
 
 
 def jaccard_components(texts, words=5, least=0.8):
@@ -157,5 +164,13 @@ def test_one_stays(spark):
     assert len(TEXTS) > len(kept) and "range" in kept[0].asDict()
 
 
+def test_clashing_columns(spark):
+    docs = documents(spark)
+    for c in ("_t", "_n", "_x", "_d", "_h", "id", "n", "root", "row", "w0", "one", "turn", "top"):
+        docs = docs.withColumn(c, F.lit("own"))
+    got = simhash_index.one_of_each(docs)
+    assert got.columns == docs.columns and {(r._t, r._n, r.row) for r in got.collect()} == {("own",) * 3}
+
+
 def test_empty(spark, tmp_path):
     assert simhash_index.op2_simhash(spark, saved(spark, tmp_path / "d", [])).count() == 0
