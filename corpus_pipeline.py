@@ -1,54 +1,23 @@
-"""A corpus pipeline of five of the training-data operators. STAGES lists (name, function); a function takes (spark, docs, sf_dir) and
-returns what its stage keeps. run() applies them in order, each on the written result of the one before."""
+"""A corpus pipeline of five of the training-data operators (their stages are in docloom/llm/stages.py). STAGES lists (name, function); a function
+takes (spark, docs, sf_dir) and returns what its stage keeps. run() applies them in order, each on the written result of the one before."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, mixing, piece_codec, simhash_index, toxicity
+from docloom.llm import stages
 from docloom.llm.common import shared_folder, table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below 0.5, which is each language's calibrated threshold."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(*COLUMNS), model, keep_below=0.5)
-
-
-def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the runs of lines of 50 words or more that stand earlier in the corpus; n_chars follows."""
-    return line_dedup.deduplicated(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (similarity 0.8 or more over five-word shingles): the one with the smallest doc_id."""
-    return simhash_index.one_of_each(docs.select(*COLUMNS), words=5, similarity=0.8)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every time the mix takes a document, in the hashed order of its shard within each partition."""
-    return mixing.mixed(docs.select(*COLUMNS)).sortWithinPartitions("shard", "position").select(*COLUMNS)
-
-
-def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, ids (with begin and end), and whether they decode to the text."""
-    import public_tokenizers
-
-    encoded = piece_codec.encode_column(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model"), same="round_trip", drop_text=True)
-    return encoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
-
+COLUMNS = stages.COLUMNS
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line dedup", drop_repeated_runs),
-    ("SimHash near-dedup", drop_near_copies),
-    ("mixing sources", mix_sources),
-    ("SentencePiece", encode_pieces),
+    ("toxicity", stages.drop_toxic),
+    ("line dedup", stages.drop_repeated_runs),
+    ("SimHash near-dedup", stages.drop_near_copies),
+    ("mixing sources", stages.mix_sources),
+    ("SentencePiece", stages.encode_pieces),
 ]
 
 #: SQL can express neither the classifier nor the index; tests/llm holds each stage against a brute-force version.
