@@ -41,16 +41,21 @@ def sentences(x: Column) -> Column:
     return F.split(F.regexp_replace(x, r"([.!?])\s+", "$1\u0001"), "\u0001")
 
 
+def _bound(x: Column, f) -> Column:
+    """f(x) with x evaluated once: as the variable of a lambda over one element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def sentence_windows(x: Column, size: int = 3, overlap: int = 1) -> Column:
     """Texts of `size` sentences, each beginning max(1, size - overlap) after the last."""
-    s, step = sentences(x), max(1, size - overlap)
-    return F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(step)), lambda i: F.array_join(F.slice(s, i + 1, F.lit(size)), " "))
+    step = max(1, size - overlap)
+    return _bound(sentences(x), lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(step)), lambda i: F.array_join(F.slice(s, i + 1, F.lit(size)), " ")))
 
 
 def ngrams(x: Column, n: int = 3) -> Column:
     """Word n-grams; a shorter text is its own."""
-    t = whitespace_tokens(x)
-    return F.when(F.size(t) < n, F.array(F.array_join(t, " "))).otherwise(F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, F.lit(n)), " ")))
+    grams = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, F.lit(n)), " "))
+    return _bound(whitespace_tokens(x), lambda t: F.when(F.size(t) < n, F.array(F.array_join(t, " "))).otherwise(grams(t)))
 
 
 def preprocessed(x: Column, abbreviations=()) -> Column:
@@ -156,3 +161,33 @@ def json_object(x: Column) -> Column:
     """From the first { to the last }."""
     first, last = F.instr(x, "{"), F.length(x) - F.instr(F.reverse(x), "}") + 1
     return F.when((first > 0) & (F.instr(x, "}") > 0) & (last >= first), F.substring(x, first, last - first + 1))
+
+
+def unwrapped(x: Column, field: str) -> Column:
+    """A field of a JSON object that stands in the text, whole or as a string inside another object's field; else the text without its marks."""
+    inner = F.get_json_object(x, f"$.{field}")
+    deeper = F.get_json_object(inner, f"$.{field}")
+    return F.coalesce(deeper, inner, squeeze(F.regexp_replace(x, r'[{}"]', " ")))
+
+
+def sections(x: Column, mark: str = r"Q[0-9]+:") -> Column:
+    """What follows each mark, up to the next."""
+    parts = F.split(x, mark)
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def file_key(name: Column) -> Column:
+    """A country's name for keys of files: underscores are spaces, words in title case."""
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def resolved_language(given: Column, file: Column, country: Column, by_country: dict[str, str], known=("en", "de", "fr", "es", "it", "pt", "zh", "ja", "ru")) -> Column:
+    """The language that is given, else a known code between underscores of the file's name, else the country's, else English."""
+    token = F.nullif(F.regexp_extract(file, rf"_({'|'.join(known)})_", 1), F.lit(""))
+    named = F.create_map(*[F.lit(v) for kv in by_country.items() for v in kv])
+    return F.coalesce(given, token, F.element_at(named, F.lower(country)), F.lit("en"))
+
+
+def labelled(index: Column, labels: list[str]) -> Column:
+    """The label at a place from 0, or null."""
+    return F.get(F.array(*[F.lit(x) for x in labels]), index.cast("int"))

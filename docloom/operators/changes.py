@@ -87,3 +87,16 @@ def uuid5(namespace: str, name):
     h = F.sha1(F.concat(F.unhex(F.lit(ns)), F.encode(name, "utf-8")))
     variant = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def marked(rows: DataFrame, done: DataFrame, key: str, into: str, value) -> DataFrame:
+    """rows with `into` set to value where the key is among the done ones."""
+    d = done.select(F.col(key).alias("_done")).distinct()
+    out = rows.join(d, rows[key] == F.col("_done"), "left")
+    return out.select(*[F.when(F.col("_done").isNotNull(), value).otherwise(F.col(c)).alias(c) if c == into else rows[c] for c in rows.columns])
+
+
+def batched(rows: DataFrame, group: str, order: str, size: int = 100) -> DataFrame:
+    """rows with batch: `size` rows of a group in order, from 0."""
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    return rows.withColumn("batch", F.floor(nth / size).cast("int"))

@@ -138,3 +138,17 @@ def exact_copies(df: DataFrame, key: str, text: str) -> DataFrame:
     h = df.withColumn("content_hash", F.sha2(F.col(text), 256))
     first = h.groupBy("content_hash").agg(F.min(key).alias(key))
     return h.join(first, ["content_hash", key], "left_semi")
+
+
+def first_strategy(texts: dict, placeholder: str = "No text could be extracted."):
+    """struct(strategy, content): the first strategy, as named in order, whose text isn't blank; else a placeholder."""
+    out = F.struct(F.lit("placeholder").alias("strategy"), F.lit(placeholder).alias("content"))
+    for name, text in reversed(texts.items()):
+        out = F.when(F.trim(text) != "", F.struct(F.lit(name).alias("strategy"), text.alias("content"))).otherwise(out)
+    return out
+
+
+def needs_ocr(elements: DataFrame, key: str, text: str, corrupted, few: int = 5) -> DataFrame:
+    """key, retry: no element with text, or fewer than `few` and one of them corrupted."""
+    n, bad = F.sum((F.trim(text) != "").cast("int")), F.sum(corrupted.cast("int"))
+    return elements.groupBy(key).agg(((n == 0) | ((n < few) & (bad > 0))).alias("retry"))

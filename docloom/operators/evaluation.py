@@ -49,3 +49,10 @@ def unknown_tokens(tokens: DataFrame, vocabulary: DataFrame, token: str, k: int
 
 def truth_template(rows: DataFrame, row: str, labels: list[str]) -> DataFrame:
     return rows.select(row).distinct().select(row, F.explode(F.array(*[F.lit(x) for x in labels])).alias("label")).withColumn("answer", F.lit("no"))
+
+
+def comparison(predicted: DataFrame, truth: DataFrame, key: str, group: str, answer: str, right: str) -> DataFrame:
+    """group, n, missing (no truth), agree."""
+    both = predicted.join(truth.select(key, right), key, "left")
+    agree = F.coalesce(F.col(answer) == F.col(right), F.lit(False)).cast("long")
+    return both.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col(right).isNull().cast("long")).alias("missing"), F.sum(agree).alias("agree"))

@@ -150,3 +150,13 @@ def month_of_url(url: Column) -> Column:
 
 def country_code(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"\{(\w+)\}", 1), F.lit(""))
+
+
+def links_to(links: DataFrame, suffix: str, link: str = "link") -> DataFrame:
+    return links.where(F.endswith(F.lower(F.col(link)), F.lit(suffix)))
+
+
+def coded(df: DataFrame, name: str, codes: dict[str, str], into: str = "code") -> DataFrame:
+    """df's rows whose name has a code, with it."""
+    named = F.create_map(*[F.lit(v) for kv in codes.items() for v in kv])
+    return df.withColumn(into, F.element_at(named, F.col(name))).where(F.col(into).isNotNull())

@@ -15,10 +15,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str, measure: str = "cosine", least_dims: int = 1, drop_self: bool = True, batch: int = 32_768) -> DataFrame:
     """source, target, score, rank: the k best targets of each query (largest cosine or smallest Euclidean distance, rounded to six places, ties
-    to the smaller key). Vectors of fewer than least_dims components take no part. A batch of at most `batch` queries is what the driver and a
+    to the smaller key). Vectors of fewer than least_dims components, or with null or non-finite ones, take no part; vectors of unlike length aren't
+    compared. A batch of at most `batch` queries is what the driver and a
     broadcast hold; a task hands on k rows a query."""
     spark = vectors.sparkSession
-    fine = lambda df: df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).where(F.col(key).isNotNull() & (F.size(vector) >= least_dims) & F.forall(vector, lambda c: c.isNotNull()))
+    fine = lambda df: df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).where(F.col(key).isNotNull() & (F.size(vector) >= least_dims) & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
     rows, asked = fine(vectors), fine(queries)
     parts = max(1, -(-asked.count() * 2 // batch)) if batch else 1
     out = None
@@ -26,7 +27,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: st
         own = (asked if parts == 1 else asked.where(F.pmod(F.xxhash64(key), F.lit(parts)) == p)).orderBy(key).collect()
         if not own:
             continue
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in own], np.int64), np.array([r[1] for r in own])))
+        held = spark.sparkContext.broadcast([(np.array([r[0] for r in own if len(r[1]) == n], np.int64), np.array([r[1] for r in own if len(r[1]) == n])) for n in sorted({len(r[1]) for r in own})])
         near = rows.mapInArrow(_scan(held, k, measure, drop_self), "source long, target long, score double")
         out = near if out is None else out.unionByName(near)
     if out is None:
@@ -37,31 +38,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: st
 
 def _scan(held, k, measure, drop_self):
     def run(batches):
-        ids, q = held.value
-        top: list = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+        tops = [[(np.zeros(0, np.int64), np.zeros(0)) for _ in ids] for ids, _ in held.value]
         for b in batches:
-            if not b.num_rows:
-                continue
-            keys, x = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-            order = np.argsort(keys, kind="stable")
-            keys, x = keys[order], x[order]
-            for lo in range(0, len(ids), 256):
-                part = q[lo : lo + 256]
-                if measure == "cosine":
-                    away = -np.round(_unit(part) @ _unit(x).T, 6)
-                else:
-                    away = np.round(np.sqrt(np.maximum((part**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * part @ x.T, 0)), 6)
-                if drop_self:
-                    away[ids[lo : lo + 256, None] == keys[None]] = np.inf
-                few = min(k, len(keys))
-                for i, pick in enumerate(np.argsort(away, axis=1, kind="stable")[:, :few]):
-                    pick = pick[away[i, pick] < np.inf]
-                    a, s = top[lo + i]
-                    a, s = np.r_[a, keys[pick]], np.r_[s, away[i, pick]]
-                    o = np.lexsort((a, s))[:k]
-                    top[lo + i] = a[o], s[o]
-        sizes = [len(a) for a, _ in top]
-        score = np.concatenate([s for _, s in top]) if top else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([a for a, _ in top])), pa.array(-score if measure == "cosine" else score)], names=["source", "target", "score"])
+            lengths = np.diff(b.column(1).offsets.to_numpy())
+            for (ids, q), top in zip(held.value, tops, strict=True):
+                same = np.flatnonzero(lengths == q.shape[1])
+                if not len(same):
+                    continue
+                rows = b.take(pa.array(same)) if len(same) < b.num_rows else b
+                keys, x = rows.column(0).to_numpy(), rows.column(1).flatten().to_numpy().reshape(len(same), -1)
+                order = np.argsort(keys, kind="stable")
+                _nearer(ids, q, keys[order], x[order], k, measure, drop_self, top)
+        for (ids, _), top in zip(held.value, tops, strict=True):
+            sizes = [len(a) for a, _ in top]
+            score = np.concatenate([s for _, s in top])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([a for a, _ in top])), pa.array(-score if measure == "cosine" else score)], names=["source", "target", "score"])
 
     return run
+
+
+def _nearer(ids, q, keys, x, k, measure, drop_self, top) -> None:
+    """Takes rows (by key) into the k best of each query."""
+    for lo in range(0, len(ids), 256):
+        part = q[lo : lo + 256]
+        if measure == "cosine":
+            away = -np.round(_unit(part) @ _unit(x).T, 6)
+        else:
+            away = np.round(np.sqrt(np.maximum((part**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * part @ x.T, 0)), 6)
+        if drop_self:
+            away[ids[lo : lo + 256, None] == keys[None]] = np.inf
+        few = min(k, len(keys))
+        for i, pick in enumerate(np.argsort(away, axis=1, kind="stable")[:, :few]):
+            pick = pick[away[i, pick] < np.inf]
+            a, s = top[lo + i]
+            a, s = np.r_[a, keys[pick]], np.r_[s, away[i, pick]]
+            o = np.lexsort((a, s))[:k]
+            top[lo + i] = a[o], s[o]

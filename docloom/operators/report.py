@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,51 @@ def answer_with_citations(citations: DataFrame, chunks: DataFrame, cited: str, c
     """Citations with the columns of the chunk they cite; those without a chunk stay, unverified."""
     c = chunks.select(F.col(chunk).alias(cited), *carried, F.lit(True).alias("_v"))
     return citations.join(c, cited, "left").withColumn("verified", F.coalesce("_v", F.lit(False))).drop("_v")
+
+
+def cited_contents(citations: DataFrame, group: str, text: str, order: list[str]) -> DataFrame:
+    """group, nth, text: each content once, in the order in which it is first cited. Copies are summed before any order is made."""
+    first = citations.groupBy(group, text).agg(F.min(F.struct(*order)).alias("_o"))
+    return first.select(group, F.row_number().over(Window.partitionBy(group).orderBy("_o")).alias("nth"), text)
+
+
+def upload_summary(rows: DataFrame, ok: Column, amount: str) -> DataFrame:
+    """One row: total, uploaded, failed, and the sum of an amount."""
+    good = F.coalesce(ok, F.lit(False)).cast("long")
+    return rows.agg(F.count("*").alias("total"), F.sum(good).alias("uploaded"), F.sum(1 - good).alias("failed"), F.sum(amount).alias("chars"))
+
+
+def with_header(groups: DataFrame, key: str, chunks: str) -> DataFrame:
+    """key, json: {"metadata": {key, chunks}, "chunks": [...]}."""
+    return groups.select(key, F.to_json(F.struct(F.struct(F.col(key), F.size(chunks).alias("chunks")).alias("metadata"), F.col(chunks).alias("chunks"))).alias("json"))
+
+
+def markdown(rows: DataFrame, group: str, item: str, value: str) -> DataFrame:
+    """group, markdown: a heading and a line for each item, in order."""
+    g = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(item, value))).alias("r"))
+    lines = F.transform("r", lambda x: F.concat(F.lit("- "), x[item], F.lit(": "), x[value].cast("string")))
+    return g.select(group, F.concat(F.lit("# "), F.col(group), F.lit("\n"), F.array_join(lines, "\n")).alias("markdown"))
+
+
+def html(title: Column, body: Column) -> Column:
+    safe = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.concat(F.lit("<h1>"), safe(title), F.lit("</h1><p>"), safe(body), F.lit("</p>"))
+
+
+def answer_or_error(answer: Column, message: str = "No answer could be given.") -> Column:
+    """struct(status, answer): the shape that every question gets, answered or not."""
+    return F.struct(F.when(answer.isNull(), "error").otherwise("ok").alias("status"), F.coalesce(answer, F.lit(message)).alias("answer"))
+
+
+def chain(language: Column, chains: dict[str, str], default: str) -> Column:
+    """The name of the chain that takes a language."""
+    out = F.lit(default)
+    for code, name in chains.items():
+        out = F.when(language == code, name).otherwise(out)
+    return out
+
+
+def by_period(rows: DataFrame, group: str, period: str, periods: list[str], item: str) -> DataFrame:
+    """group and a column for each period: its items in order, all in one pass."""
+    own = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(period) == p, F.col(item)))), lambda x: x.cast("string")), ", ").alias(p) for p in periods]
+    return rows.groupBy(group).agg(*own)

@@ -125,17 +125,49 @@ def bm25(df: DataFrame, query: list[str], key: str, text: str, k1: float = 1.5,
     """key, score for the documents that hold a query word. White-space tokens of the lower-cased text; negative idfs become epsilon times the
     mean idf of the vocabulary. Term counts are summed before each shuffle; only one row of statistics and the query's idfs are broadcast."""
     docs = df.select(key, X.whitespace_tokens(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("t"))
-    docs = docs.select(key, F.size("t").alias("dl"), F.explode("t").alias("w"))
-    tf = docs.groupBy(key, "w", "dl").agg(F.count("*").alias("tf"))
-    size = df.select(F.size(X.whitespace_tokens(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    n = F.broadcast(size)
-    idf = tf.groupBy("w").agg(F.count("*").alias("df")).join(n).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = F.broadcast(idf.agg(F.avg("idf").alias("mean")))
     wanted = sorted(set(query))
-    used = idf.where(F.col("w").isin(wanted)).join(mean).select("w", F.when(F.col("idf") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("idf")).alias("idf"), "avgdl")
-    hits = tf.where(F.col("w").isin(wanted)).join(F.broadcast(used), "w")  # a row for each query word
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+    size = docs.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
+    seen = docs.select(F.explode(F.array_distinct("t")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    idf = seen.join(F.broadcast(size)).select("w", "n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    own = [F.max(F.when(F.col("w") == w, F.col("idf"))).alias(f"i{i}") for i, w in enumerate(wanted)]
+    one = F.broadcast(idf.agg(F.avg("idf").alias("mean"), F.max("avgdl").alias("avgdl"), *own))  # one row
+    counts = [F.size(F.filter("t", _is(w))).alias(f"f{i}") for i, w in enumerate(wanted)]
+    hits = docs.select(key, F.size("t").alias("dl"), *counts).where(sum((F.col(f"f{i}") for i in range(len(wanted))), F.lit(0)) > 0).join(one)
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        tf, weight = F.col(f"f{i}"), F.when(F.col(f"i{i}") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col(f"i{i}"))
+        score = score + F.when(tf > 0, weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+    return hits.groupBy(key).agg(F.round(F.sum(score), 6).alias("score"))
+
+
+def _is(word: str):
+    return lambda t: t == word
+
+
+def keywords_of_types(types: DataFrame, key: str, keywords: dict[str, list[str]], most: int = 2) -> DataFrame:
+    """types: key, type, score. key, keyword for the best `most` types of each key, in the lexicon's order."""
+    best = top_per_group(types, [key], "score", "type", most)
+    rows = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(i).alias("place"), F.lit(w).alias("keyword")) for t, ws in keywords.items() for i, w in enumerate(ws)])
+    return best.select(key, "type").select(key, F.col("type").alias("_of"), F.inline(rows)).where("_of = type").select(key, "type", "place", "keyword")
+
+
+def expanded(prompt: Column, country: Column, kind: Column, keywords: dict[str, list[str]], general: list[str], most: int = 8, of_general: int = 5) -> Column:
+    """The query that is searched for: country, the first keywords of the question's kind (else of the general ones), prompt."""
+    named = F.create_map(*[c for k, ws in keywords.items() for c in (F.lit(k), F.lit(" ".join(ws[:most])))])
+    return F.concat_ws(" ", country, F.coalesce(F.element_at(named, kind), F.lit(" ".join(general[:of_general]))), prompt)
+
+
+def most_similar(vocabulary: DataFrame, asked: list[str], k: int = 5, word: str = "word", vector: str = "vector") -> DataFrame:
+    """word, near, score, rank: of each asked word the k nearest others. The asked words, a list of the caller's, are broadcast."""
+    own = vocabulary.where(F.col(word).isin(asked)).select(F.col(word).alias("_word"), F.col(vector).alias("_vector"))
+    rows = vocabulary.join(F.broadcast(own), F.col(word) != F.col("_word")).select(F.col("_word").alias("word"), F.col(word).alias("near"), F.round(cosine(F.col("_vector"), F.col(vector)), 6).alias("score"))
+    return top_per_group(rows, ["word"], "score", "near", k).withColumnRenamed("rn", "rank")
+
+
+def similarity_of_content(asked: DataFrame, chunks: DataFrame, text: str, score: str, key: str) -> DataFrame:
+    """asked's rows with the score of the first chunk (by key) whose content is the same, 0 where there is none."""
+    first = chunks.groupBy(text).agg(F.min(F.struct(key, score))[score].alias("_s"))
+    return asked.join(first, text, "left").withColumn(score, F.coalesce("_s", F.lit(0.0))).drop("_s")
 
 
 def fused(transformer: Column, word2vec: Column, regex: Column, fuzzy: Column, weights=(0.25, 0.20, 0.30, 0.25)) -> Column:

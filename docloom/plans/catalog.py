@@ -25,7 +25,7 @@ BOOSTS = {"plain": (1.0, [r"(?:the|and)\s+of"]), "strong": (1.2, [r"with\s+the"]
 RELATIONS = {"SUPPORTS": [(r"with [a-z]+ing", r"the|and", 0.8), (r"from", r"this", 0.6)], "EXPLAINS": [(r"that is", r"which", 0.6), (r"of the", r"for the", 0.6)], "FOLLOWS": [(r"die", r"der", 0.6), (r"les", r"des", 0.8)]}
 INDICATORS = {"the": ["articles"], "and": ["joins", "articles"], "with": ["ties"], "que": ["romance"], "der": ["german"]}
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
-MIN_EDGE = 0.55
+MIN_EDGE, NEIGHBOURS = 0.55, 30
 
 
 def query(sql: str | None = None):
@@ -39,10 +39,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from docloom.plans import records  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -72,10 +75,10 @@ def scan_non_blank(spark, d):
     return readers.non_blank(_docs(spark, d), "text").select("doc_id", "text")
 
 
-@query("SELECT d.doc_id FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.embedding IS NULL ORDER BY d.doc_id LIMIT 500")
+@query("SELECT d.doc_id FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.embedding IS NULL")
 def scan_missing_embedding(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return readers.missing(_docs(spark, d).select("doc_id").join(e, "doc_id", "left"), "embedding").orderBy("doc_id").limit(500).select("doc_id")
+    return readers.missing(_docs(spark, d).select("doc_id").join(e, "doc_id", "left"), "embedding").select("doc_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE regexp_matches(source, 'src1[0-9]')")
@@ -93,9 +96,10 @@ def text_validity(spark, d):
     return _docs(spark, d).select("doc_id", F.coalesce(X.usable(F.col("text")), F.lit(False)).alias("usable"))
 
 
-@query(r"""SELECT doc_id, left(trim(text), 60) AS part FROM documents WHERE NOT (length(trim(left(text, 60))) < 10 OR regexp_matches(trim(left(text, 60)), '^([0-9]+|[ivxlcdmIVXLCDM]+|[^\p{L}\p{N}]+|(?i:page)\s+[0-9]+.*)$'))""")
+@query(r"""SELECT doc_id, line_no, trim(line) AS part FROM (SELECT doc_id, unnest(range(0, len(ls)))::INT AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE NOT (length(trim(line)) < 10 OR regexp_matches(trim(line), '^([0-9]+|[ivxlcdmIVXLCDM]+|[^\p{L}\p{N}]+|(?i:page)\s+[0-9]+.*)$'))""")
 def element_filter(spark, d):
-    return _docs(spark, d).where(~X.skipped_element(F.substring("text", 1, 60))).select("doc_id", F.substring(F.trim("text"), 1, 60).alias("part"))
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.where(~X.skipped_element(F.col("line"))).select("doc_id", "line_no", F.trim("line").alias("part"))
 
 
 @query("SELECT doc_id, concat_ws('_', source, coalesce(lang, 'en'), coalesce(strftime(DATE '2024-01-01' + (doc_id % 365)::INT, '%Y%m%d'), 'unknown_date')) AS file_id FROM documents")
@@ -229,17 +233,17 @@ def two_vector_average(spark, d):
     return retrieval.top(best.select("doc_id", F.round("score", 6).alias("score")), "score", "doc_id", 20)
 
 
-_KNN = f"SELECT source, target, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target)::INT AS rank FROM (SELECT a.vec_id AS source, b.vec_id AS target, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= 5"
+_KNN = f"SELECT source, target, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target)::INT AS rank FROM (SELECT a.vec_id AS source, b.vec_id AS target, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= "
 
 
-def _pairs(spark, d):
+def _pairs(spark, d, k: int):
     e = table(spark, d, "embeddings")
-    return knn.nearest(e, e, 5, "vec_id", "embedding", least_dims=10)
+    return knn.nearest(e, e, k, "vec_id", "embedding", least_dims=10)
 
 
-@query(_KNN)
+@query(f"{_KNN}5")
 def knn_self(spark, d):
-    return _pairs(spark, d)
+    return _pairs(spark, d, 5)
 
 
 @query("SELECT source, target, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score, target)::INT AS rank FROM (SELECT a.vec_id AS source, b.vec_id AS target, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= 4")
@@ -564,12 +568,12 @@ def star_join(spark, d):
 # -- graph
 
 _EDGE_CASE = "CASE " + " ".join(f"WHEN regexp_matches(lower(s.text), '{a}') AND regexp_matches(lower(t.text), '{b}') THEN '{k}|{w}'" for k, a, b, w in sorted(((k, a, b, w) for k, ps in RELATIONS.items() for a, b, w in ps), key=lambda r: -r[3])) + " END"
-_EDGES = f"(SELECT source, target, split_part(kw, '|', 1) AS type, confidence FROM (SELECT source, target, kw, round(least(1.0::DOUBLE, 0.3::DOUBLE * score + 0.5::DOUBLE * split_part(kw, '|', 2)::DOUBLE + 0.2::DOUBLE * greatest(0.1::DOUBLE, 1 - 0.001::DOUBLE * abs(source - target))), 7) AS confidence FROM (SELECT k.source, k.target, k.score, {_EDGE_CASE} AS kw FROM ({_KNN}) k JOIN documents s ON s.doc_id = k.source JOIN documents t ON t.doc_id = k.target) WHERE kw IS NOT NULL) WHERE confidence >= {MIN_EDGE})"
+_EDGES = f"(SELECT source, target, split_part(kw, '|', 1) AS type, confidence FROM (SELECT source, target, kw, round(least(1.0::DOUBLE, 0.3::DOUBLE * score + 0.5::DOUBLE * split_part(kw, '|', 2)::DOUBLE + 0.2::DOUBLE * greatest(0.1::DOUBLE, 1 - 0.001::DOUBLE * abs(source - target))), 7) AS confidence FROM (SELECT k.source, k.target, k.score, {_EDGE_CASE} AS kw FROM ({_KNN}{NEIGHBOURS}) k JOIN documents s ON s.doc_id = k.source JOIN documents t ON t.doc_id = k.target) WHERE kw IS NOT NULL) WHERE confidence >= {MIN_EDGE})"
 
 
 def _edges(spark, d):
     docs = _docs(spark, d)
-    return graph.relationships(_pairs(spark, d).select("source", "target", "score"), docs, "doc_id", "text", "doc_id", RELATIONS, MIN_EDGE)
+    return graph.relationships(_pairs(spark, d, NEIGHBOURS).select("source", "target", "score"), docs, "doc_id", "text", "doc_id", RELATIONS, MIN_EDGE)
 
 
 @query(f"SELECT source, target, type, confidence FROM {_EDGES}")
@@ -577,7 +581,8 @@ def relationship_edges(spark, d):
     return _edges(spark, d)
 
 
-_MATCH = "(SELECT doc_id AS node, (doc_id % 10 + 1) / 10.0 AS relevance FROM documents WHERE doc_id % 25 = 0 AND doc_id < 500)"
+TERMS = ["the", "from", "with"]
+_MATCH = r"(SELECT doc_id AS node, round(len(list_filter(t, lambda w: w IN ('the', 'from', 'with'))) / greatest(len(t), 1), 6) AS relevance FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents) WHERE len(list_intersect(['the', 'from', 'with'], t)) = 3)"
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT source, target, confidence FROM {_EDGES}), w AS (SELECT node, 0 AS hops, 1.0::DOUBLE AS confidence, relevance::DOUBLE AS relevance, [node] AS path FROM {_MATCH}
@@ -588,7 +593,8 @@ def multi_hop(spark, d):
 
 
 def _walk(spark, d, edges):
-    matches = _docs(spark, d).where("doc_id % 25 = 0 and doc_id < 500").select(F.col("doc_id").alias("id"), ((F.col("doc_id") % 10 + 1) / 10.0).alias("relevance"))
+    match, rank = retrieval.full_text(F.col("text"), TERMS)
+    matches = _docs(spark, d).where(match).select(F.col("doc_id").alias("id"), F.round(rank, 6).alias("relevance"))
     return graph.multi_hop(edges, matches, "id", "relevance", least_edge=0.6)
 
 
@@ -702,10 +708,10 @@ def citation_enrich(spark, d):
     return c.select("conv_id", "turn", "source", "verified")
 
 
-@query("SELECT doc_id, '### ' || lang || chr(10) || 'Answer: ' || (CASE WHEN doc_id % 3 = 0 THEN 'Yes' ELSE 'No' END) || chr(10) || 'Quote: ' || trim(regexp_replace(left(text, 40), '\\s+', ' ', 'g')) || chr(10) || 'Confidence: 50.0%' AS box FROM documents".replace("\\\\", "\\"))
+@query("SELECT doc_id, '### ' || lang || chr(10) || 'Answer: ' || (CASE WHEN doc_id % 3 = 0 THEN 'Yes' ELSE 'No' END) || chr(10) || 'Quote: ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || chr(10) || 'Confidence: 50.0%' AS box FROM documents".replace("\\\\", "\\"))
 def answer_boxes(spark, d):
     answer = F.when(F.col("doc_id") % 3 == 0, "yes").otherwise("soft_yes")
-    return _docs(spark, d).select("doc_id", report.answer_box(F.col("lang"), answer, F.substring("text", 1, 40), F.lit(0.5)).alias("box"))
+    return _docs(spark, d).select("doc_id", report.answer_box(F.col("lang"), answer, F.col("text"), F.lit(0.5)).alias("box"))
 
 
 # -- streams

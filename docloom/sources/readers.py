@@ -70,3 +70,22 @@ def flattened(df: DataFrame, separator: str = ".") -> DataFrame:
 
     add(df.schema, [])
     return df.select(*out)
+
+
+def found(df: DataFrame) -> DataFrame:
+    """One row: whether there is any."""
+    return df.limit(1).agg((F.count("*") > 0).alias("found"))
+
+
+def counted(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n of each table."""
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def stems(files: DataFrame, file: str) -> DataFrame:
+    """The distinct names of files, without folder and extension."""
+    return files.select(F.regexp_replace(F.substring_index(file, "/", -1), r"\.[^.]*$", "").alias("stem")).distinct()

@@ -233,6 +233,51 @@ def test_nearest_of_edge_vectors(spark):
     assert got == [(1, 3, 0.707107), (1, 2, 0.0)]
 
 
+def test_nearest_of_unlike_lengths(spark):
+    from docloom.operators import knn
+
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [0.0, 1.0, 0.0])], "id long, v array<double>")
+    got = [(r.source, r.target, r.score) for r in knn.nearest(df, df, 5, "id", "v").orderBy("source", "rank").collect()]
+    assert got == [(1, 3, 0.707107), (2, 6, 0.0), (3, 1, 0.707107), (6, 2, 0.0)]
+
+
+@pytest.mark.parametrize("f", [lambda c: X.ngrams(c, 3), X.sentence_windows])
+def test_windows_take_linear_time(spark, f):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(" ".join(f"word{i}." for i in range(n)),)], "x string").cache()
+        df.count()
+        began = time.time()
+        assert df.select(F.size(f(F.col("x")))).first()[0] > n / 3
+        return time.time() - began
+
+    seconds(1_000)
+    assert seconds(80_000) < 8 * max(seconds(20_000), 0.25)
+
+
+def test_betweenness_of_any_size(spark):
+    nodes = spark.range(1200).select(F.col("id").alias("n"))
+    ring = nodes.select(F.col("n").alias("source"), ((F.col("n") + 1) % 1200).alias("target"), F.lit(1.0).alias("confidence"))
+    ring = ring.where("source % 100 < 99")  # twelve paths of a hundred nodes
+    got = {r.n: r.betweenness for r in graph.betweenness(ring, nodes, "n").collect()}
+    assert len(got) == 1200 and all(got[i] == round((i % 100) * (99 - i % 100) / (1199 * 1198), 6) for i in range(1200))
+    assert {r.betweenness for r in graph.betweenness(ring, nodes, "n", below=1200).collect()} == {0.0}
+
+
+def test_bm25_of_several_terms(spark):
+    import math
+
+    texts = ["a b b c", "b c", "d", "a d d", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r.id: r.score for r in retrieval.bm25(df, ["b", "a", "zz"], "id", "t").collect()}
+    docs = [(t or "").split() for t in texts]
+    idf = {w: math.log(len(docs) - n + 0.5) - math.log(n + 0.5) for w in "abcd" for n in [sum(w in d for d in docs)]}
+    mean, avg = sum(idf.values()) / 4, sum(map(len, docs)) / len(docs)
+    want = {i: round(sum((idf[w] if idf[w] >= 0 else 0.25 * mean) * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for w in "ab"), 6) for i, d in enumerate(docs) if set("ab") & set(d)}
+    assert got == want
+
+
 def test_entry_point_without_the_subpackage(spark):
     import builtins
     import importlib
