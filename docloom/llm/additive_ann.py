@@ -6,13 +6,15 @@ update of all codewords together. Every row is encoded by beam search and keeps
 codewords make its lookup table; a row's estimate is the sum of its codes' entries over the stored norm. The `short` best estimates of each
 block of rows are reranked by the exact cosine of the original vectors in double precision.
 
-Queries are taken in batches of at most `query_rows` rows (a bound on what the driver and a broadcast hold), each against every block of
-rows; a block hands on its `k` best rows for each query, which a window narrows to the `k` best in all.
+The index is a table in the shared folder: key, vector, codes and norm of every row, encoded once. Queries are taken in batches of at most
+`query_rows` rows (a bound on what the driver and a broadcast hold), each against every block of the index; a block hands on its `k` best rows
+for each query, which are written batch by batch, and a window narrows them to the `k` best in all. Vectors are scaled by a power of two
+first, which changes no cosine, so that squares of very large or small components neither overflow nor vanish.
 
 Defined cases: vectors that are null, zero, of another length than most (ties: the shorter), or that hold null or non-finite components take no
 part, nor do rows with a null vec_id; rows that repeat a query's vec_id are not its candidates; of rows that repeat a query's vec_id the least
 vector is the query; equal scores go to the smaller vec_id; with fewer candidates than k all are returned; an empty table gives an empty
-result; extra columns are ignored.
+result; a very long vector is one like others; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import table
+from docloom.llm.common import shared_folder, table, written
 
 
 @dataclass(frozen=True)
@@ -115,8 +117,20 @@ def train(x: np.ndarray, s: Settings) -> Quantiser:
     return q
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component is at least a half and less than one."""
+    most = np.abs(x).max(axis=-1, keepdims=True)
+    return np.ldexp(x, -np.frexp(most)[1])
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+
+
 def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact cosines of a query with rows, each row's sum in the same order wherever it stands."""
+    q, x = _scaled(q), _scaled(x)
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
@@ -130,45 +144,65 @@ def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     return (fine.where(F.size(vector) == most["d"]), most["d"]) if most else (fine, 0)
 
 
+def fitted(vectors: DataFrame, s: Settings, key: str = "vec_id", vector: str = "embedding") -> Quantiser | None:
+    """Codebooks from at most `sample` rows, by the hash of their key."""
+    rows = vectors.orderBy(F.xxhash64(key), key).limit(s.sample).select(vector).collect()
+    return train(_units(np.array([r[0] for r in rows])), s) if rows else None
+
+
+def indexed(vectors: DataFrame, quantiser: Quantiser, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The index as a written table: key, vector, codes (a byte each), norm of the approximation."""
+    model = vectors.sparkSession.sparkContext.broadcast(quantiser)
+    schema = T.StructType([vectors.schema[key], vectors.schema[vector], T.StructField("codes", T.BinaryType()), T.StructField("norm", T.FloatType())])
+
+    def run(batches):
+        q = model.value
+        for b in batches:
+            if b.num_rows:
+                codes = q.encode(_units(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)))
+                norms = np.maximum(np.sqrt((q.decode(codes) ** 2).sum(axis=1)), 1e-12).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=schema.names)
+
+    return written(vectors.select(key, vector).mapInArrow(run, schema), "index")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settings | None = None, key: str = "vec_id", vector: str = "embedding", quantiser: Quantiser | None = None) -> DataFrame:
     """query_id, rank, key, score. vectors, queries: as valid() gives them."""
+    import uuid
+
     spark, s = vectors.sparkSession, settings or Settings()
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(key, T.LongType()), T.StructField("score", T.DoubleType())])
+    quantiser = quantiser or fitted(vectors, s, key, vector)
     if quantiser is None:
-        rows = vectors.orderBy(F.xxhash64(key), key).limit(s.sample).select(vector).collect()  # at most `sample` rows
-        if not rows:
-            return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), key, "score")
-        x = np.array([r[0] for r in rows])
-        quantiser = train((x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32), s)
+        return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), key, "score")
+    index = indexed(vectors, quantiser, key, vector)
     model = spark.sparkContext.broadcast(quantiser)
     asked = queries.groupBy(key).agg(F.min(vector).alias(vector))
-    batches = max(1, -(-asked.count() // (s.query_rows // 2)))
-    found = None
+    count = asked.count()
+    if not count:
+        return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), key, "score")
+    batches = -(-count // (s.query_rows // 2))
+    found = f"{shared_folder(spark).rstrip('/')}/neighbours-{uuid.uuid4().hex}"
     for part in range(batches):
         own = asked if batches == 1 else asked.where(F.pmod(F.xxhash64(key), F.lit(batches)) == part)
         held = own.orderBy(key).collect()  # about query_rows / 2 rows
-        if not held:
-            continue
-        ids, q = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held])
-        near = vectors.mapInArrow(_scan(model, spark.sparkContext.broadcast((ids, q)), k, s, key), schema)
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), key, "score")
+        if held:
+            asking = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held])))
+            index.mapInArrow(_scan(model, asking, k, s, key), schema).write.mode("append").parquet(found)
+            asking.destroy()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    return spark.read.schema(schema).parquet(found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
 def _scan(model, asked, k: int, s: Settings, key: str = "vec_id"):
     def run(batches):
         quantiser, (ids, q) = model.value, asked.value
-        unit = (q / np.sqrt((q * q).sum(axis=1, keepdims=True))).astype(np.float32)
+        unit = _units(q)
         best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)  # of each query so far, k at most
 
-        def block(keys, x):
-            codes = quantiser.encode((x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32))
+        def block(keys, x, codes, norms):
             order = np.argsort(keys, kind="stable")  # equal estimates fall to smaller keys
-            keys, x, codes = keys[order], x[order], codes[order]
-            norms = np.maximum(np.sqrt((quantiser.decode(codes) ** 2).sum(axis=1)), 1e-12)
+            keys, x, codes, norms = keys[order], x[order], codes[order], norms[order]
             for lo in range(0, len(ids), 256):
                 estimate = quantiser.estimates(unit[lo : lo + 256], codes, norms)
                 estimate[ids[lo : lo + 256, None] == keys[None]] = -np.inf
@@ -186,16 +220,16 @@ def _scan(model, asked, k: int, s: Settings, key: str = "vec_id"):
 
         held, n = [], 0
         for b in batches:
-            flat = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) if b.num_rows else None
-            if flat is None:
+            if not b.num_rows:
                 continue
-            held.append((b.column(0).to_numpy(), flat))
+            codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            held.append((b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1), codes, b.column(3).to_numpy()))
             n += b.num_rows
             if n >= s.block_rows:
-                block(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+                block(*map(np.concatenate, zip(*held, strict=True)))
                 held, n = [], 0
         if held:
-            block(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            block(*map(np.concatenate, zip(*held, strict=True)))
         sizes = [len(a) for a, _ in best]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([a for a, _ in best])), pa.array(np.concatenate([b for _, b in best]))], names=["query_id", key, "score"])
 

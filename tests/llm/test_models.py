@@ -159,6 +159,26 @@ def test_op1_edges(spark, tmp_path):
     assert additive_ann.op1_additive_ann(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_op1_of_extreme_vectors(spark, tmp_path):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [1.0, 1.0]), (50, [0.0, -1e308]), (51, [1e300, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/d/embeddings.parquet")
+    got = additive_ann.op1_additive_ann(spark, f"{tmp_path}/d").orderBy("query_id", "rank").collect()
+    near = sorted(((r.query_id, r.vec_id, round(r.score, 9)) for r in got), key=lambda r: (r[0], -r[2], r[1]))
+    h = round(0.5**0.5, 9)
+    assert near == [(0, 2, 1.0), (0, 1, h), (0, 51, h), (0, 50, -h), (50, 1, 0.0), (50, 51, 0.0), (50, 0, -h), (50, 2, -h)]
+
+
+def test_index_is_stored_and_scores_are_exact(spark):
+    v, dims = additive_ann.valid(spark.read.parquet(f"{DATA}/embeddings.parquet"))
+    s = additive_ann.Settings(books=6, words=16, rounds=1)
+    index = additive_ann.indexed(v, additive_ann.fitted(v, s))
+    assert index.columns == ["vec_id", "embedding", "codes", "norm"] and index.count() == v.count() and {len(r.codes) for r in index.collect()} == {6}
+    x = {r.vec_id: np.array(r.embedding) for r in v.collect()}
+    for r in additive_ann.search(v, v.where("vec_id % 100 = 0"), 5, s).collect():
+        a, b = x[r.query_id], x[r.vec_id]
+        assert abs(r.score - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12
+
+
 def test_query_batches_agree(spark):
     v, _ = additive_ann.valid(spark.read.parquet(f"{DATA}/embeddings.parquet"))
     q = v.where("vec_id % 20 = 0")
