@@ -197,11 +197,19 @@ def full_text(text: Column, terms: list[str], match: str = "all") -> tuple[Colum
     return (held == F.size(want)) if match == "all" else (held > 0), rank
 
 
-def ratio_udf():
-    """Similarity of two texts as difflib's ratio, in Arrow batches."""
+def ratio_udf(least: float = 0.0):
+    """Similarity of two texts as difflib's ratio, in Arrow batches; 0 if it is below `least`, which difflib's upper bounds mostly tell."""
+
+    def one(x: str, y: str) -> float:
+        m = difflib.SequenceMatcher(None, x, y)
+        if m.real_quick_ratio() < least or m.quick_ratio() < least:
+            return 0.0
+        r = m.ratio()
+        return r if r >= least else 0.0
+
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+        return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
     return ratio
 
@@ -225,9 +233,13 @@ def token_set_ratio_udf():
 
 
 def fuzzy_pattern_score(df: DataFrame, text: str, pattern: str, words: list[str], key: str, least: float = 0.6) -> DataFrame:
-    """key, score: regex hits, else the best ratio of the words to a word trigram if it reaches `least`, else 0."""
-    ratio = ratio_udf()
-    hits = F.regexp_count(F.lower(F.col(text)), F.lit(pattern)).cast("double")
-    rows = df.select(key, hits.alias("hits"), F.explode(F.array_distinct(X.ngrams(F.lower(F.col(text)), 3))).alias("gram")).withColumn("r", F.when(F.col("hits") > 0, F.lit(0.0)).otherwise(ratio(F.lit(" ".join(words)), "gram")))
-    best = rows.groupBy(key).agg(F.first("hits").alias("hits"), F.max("r").alias("r"))
-    return best.select(key, F.when(F.col("hits") > 0, F.col("hits")).when(F.col("r") >= least, F.col("r")).otherwise(0.0).alias("score"))
+    """key, score: regex hits, else the best ratio of the words to a word trigram if it reaches `least`, else 0. Only texts without a hit give
+    trigrams, each text its distinct ones, and only those whose length lets the ratio reach `least`; rows of one key count as one text's."""
+    asked = " ".join(words)
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    rows = df.select(key, F.regexp_count(lower, F.lit(pattern)).cast("double").alias("hits"), lower.alias("_x"))
+    able = lambda g: 2 * F.least(F.length(g), F.lit(len(asked))) >= F.lit(least) * (F.length(g) + len(asked))
+    grams = rows.where("hits = 0").select(key, F.explode(F.filter(F.array_distinct(X.ngrams(F.col("_x"), 3)), able)).alias("gram"))
+    near = grams.select(key, ratio_udf(least)(F.lit(asked), "gram").alias("r")).where("r > 0").groupBy(key).agg(F.max("r").alias("r"))
+    best = rows.groupBy(key).agg(F.max("hits").alias("hits")).join(near, key, "left")
+    return best.select(key, F.when(F.col("hits") > 0, F.col("hits")).otherwise(F.coalesce("r", F.lit(0.0))).alias("score"))

@@ -386,7 +386,7 @@ def fuzzy_search(spark, d):
 
 @query()
 def fuzzy_patterns(spark, d):
-    return retrieval.fuzzy_pattern_score(table(spark, d, "benchmark"), "text", r"\bwith\s+the\b", ["with", "the", "and"], "item_id")
+    return retrieval.fuzzy_pattern_score(_docs(spark, d), "text", r"\bwith\s+the\b", ["with", "the", "and"], "doc_id")
 
 
 # -- chunks
@@ -586,7 +586,7 @@ _MATCH = r"(SELECT doc_id AS node, round(len(list_filter(t, lambda w: w IN ('the
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT source, target, confidence FROM {_EDGES}), w AS (SELECT node, 0 AS hops, 1.0::DOUBLE AS confidence, relevance::DOUBLE AS relevance, [node] AS path FROM {_MATCH}
-UNION ALL SELECT e.target, hops + 1, w.confidence * e.confidence * 0.9, relevance * 0.8, list_append(path, e.target) FROM w JOIN e ON e.source = w.node WHERE hops < 2 AND e.confidence > 0.6 AND w.confidence > 0.4 AND NOT list_contains(path, e.target))
+UNION ALL SELECT e.target, hops + 1, w.confidence * e.confidence * 0.9, relevance * 0.8, list_append(path, e.target) FROM w JOIN e ON e.source = w.node WHERE hops < 3 AND e.confidence > 0.6 AND w.confidence > 0.4 AND NOT list_contains(path, e.target))
 SELECT DISTINCT node, hops, round(confidence, 6) AS confidence, round(relevance, 6) AS relevance FROM w WHERE confidence > 0.3 AND list_has_any(path, (SELECT list(node) FROM (SELECT node FROM {_MATCH} ORDER BY relevance DESC, node LIMIT 5)))""")
 def multi_hop(spark, d):
     return _walk(spark, d, _edges(spark, d))
@@ -609,16 +609,17 @@ def degree_centrality(spark, d):
     return graph.degree(_edges(spark, d), table(spark, d, "embeddings").select("vec_id"), "vec_id")
 
 
-def _pagerank_sql(rounds: int) -> str:
-    out = f"WITH e AS MATERIALIZED (SELECT source, target, sum(confidence) AS c FROM {_EDGES} GROUP BY 1, 2), w AS (SELECT source, sum(c) AS w FROM e GROUP BY 1), s AS (SELECT e.source, e.target, c / w AS share FROM e JOIN w USING (source)), n AS (SELECT count(*) AS n FROM embeddings), r0 AS (SELECT vec_id AS node, 1.0::DOUBLE / n AS rank FROM embeddings, n)"
-    for i in range(rounds):
-        out += f", g{i} AS (SELECT s.target AS node, sum(rank * share) AS got FROM s JOIN r{i} r ON r.node = s.source GROUP BY 1), l{i} AS (SELECT coalesce(sum(rank), 0.0) AS lost FROM r{i} WHERE node NOT IN (SELECT source FROM w)), r{i + 1} AS (SELECT r.node, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0.0) + lost / n) AS rank FROM r{i} r LEFT JOIN g{i} USING (node), l{i}, n)"
-    return out + f" SELECT node AS vec_id, round(rank, 6) AS pagerank FROM r{rounds}"
+_RANKS = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT source, target, sum(confidence) AS c FROM {_EDGES} GROUP BY 1, 2), w AS MATERIALIZED (SELECT source, sum(c) AS w FROM e GROUP BY 1),
+s AS MATERIALIZED (SELECT e.source, e.target, c / w AS share FROM e JOIN w USING (source)), n AS MATERIALIZED (SELECT count(*) AS n FROM embeddings),
+r AS (SELECT 0 AS i, vec_id AS node, vec_id IN (SELECT source FROM w) AS leads, 1.0::DOUBLE / n AS rank, 1e9::DOUBLE AS moved FROM embeddings, n
+UNION ALL SELECT i + 1, node, leads, new, sum(abs(new - rank)) OVER () FROM (SELECT i, r.node, leads, rank, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0.0) + lost / n) AS new
+FROM r LEFT JOIN (SELECT s.target AS node, sum(rank * share) AS got FROM s JOIN r ON r.node = s.source GROUP BY 1) g ON g.node = r.node, (SELECT coalesce(sum(CASE WHEN NOT leads THEN rank END), 0.0) AS lost FROM r), n WHERE moved >= 1e-6 * n AND i < 100))
+SELECT node AS vec_id, round(rank, 6) AS pagerank FROM r WHERE i = (SELECT max(i) FROM r)"""
 
 
-@query(_pagerank_sql(6))
+@query(_RANKS)
 def pagerank(spark, d):
-    return graph.pagerank(_edges(spark, d), table(spark, d, "embeddings").select("vec_id"), "vec_id", 6)
+    return graph.pagerank(_edges(spark, d), table(spark, d, "embeddings").select("vec_id"), "vec_id")
 
 
 def _graph(spark, d):
@@ -639,7 +640,7 @@ def communities(spark, d):
 @query()
 def node_classes(spark, d):
     edges, nodes = _graph(spark, d)
-    c = graph.degree(edges, nodes, "vec_id").join(graph.pagerank(edges, nodes, "vec_id", 6), "vec_id").join(graph.betweenness(edges, nodes, "vec_id"), "vec_id")
+    c = graph.degree(edges, nodes, "vec_id").join(graph.pagerank(edges, nodes, "vec_id"), "vec_id").join(graph.betweenness(edges, nodes, "vec_id"), "vec_id")
     cols = [F.col("degree"), F.col("pagerank"), F.col("betweenness")]
     c = c.withColumn("final_score", graph.final_score(*cols)).withColumn("classification", graph.node_class(*cols)).withColumn("confidence_level", graph.level(*cols))
     ranked = graph.combined_score(_walk(spark, d, edges), c, "vec_id")
@@ -751,7 +752,7 @@ def embeddable_texts(spark, d):
 
 @query()
 def word_vectors(spark, d):
-    return embedding.word_vectors(_docs(spark, d), "text", size=8, window=3, least=20, rounds=1)
+    return embedding.word_vectors(_docs(spark, d), "text")
 
 
 @query(f"SELECT question, vec_id, score FROM (SELECT a.vec_id AS question, b.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rn FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rn = 1")

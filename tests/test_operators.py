@@ -265,6 +265,62 @@ def test_betweenness_of_any_size(spark):
     assert {r.betweenness for r in graph.betweenness(ring, nodes, "n", below=1200).collect()} == {0.0}
 
 
+def test_pagerank_is_the_fixed_point(spark):
+    import numpy as np
+
+    rng, n = np.random.default_rng(3), 60
+    links = {(int(a), int(b)): float(w) for a, b, w in zip(rng.integers(0, 50, 200), rng.integers(0, n, 200), rng.uniform(0.5, 1, 200), strict=True)}
+    m = np.full((n, n), 1 / n)  # nodes that lead nowhere give to all
+    for s in {a for a, _ in links}:
+        m[:, s] = 0
+    for (a, b), w in links.items():
+        m[b, a] = w / sum(x for (c, _), x in links.items() if c == a)
+    want = np.linalg.solve(np.eye(n) - 0.85 * m, np.full(n, 0.15 / n))
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "source long, target long, confidence double")
+    nodes = spark.range(n).select(F.col("id").alias("n"))
+    got = {r.n: r.pagerank for r in graph.pagerank(edges, nodes, "n", tolerance=1e-8).collect()}
+    assert max(abs(got[i] - want[i]) for i in range(n)) < 2e-6
+    few = {r.n: r.pagerank for r in graph.pagerank(edges, nodes, "n").collect()}
+    assert sum(abs(few[i] - want[i]) for i in range(n)) < 1e-6 * n / 0.15 + n * 1e-6
+
+
+def test_communities_against_plain_merging(spark):
+    import random
+
+    random.seed(5)
+    links = sorted({tuple(sorted(random.sample(range(40), 2))) for _ in range(90)})
+    groups, m = [{v} for v in range(40)], len(links)
+    deg = lambda g: sum((a in g) + (b in g) for a, b in links)
+    while True:
+        gains = [(2 * m * sum((a in p and b in q) or (a in q and b in p) for a, b in links) - deg(p) * deg(q), -min(p), -min(q), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if min(p) < min(q)]
+        gain, _, _, i, j = max(gains)
+        if gain <= 0:
+            break
+        groups[i] |= groups[j]
+        del groups[j]
+    want = {v: k for k, g in enumerate(sorted(groups, key=lambda g: (-len(g), min(g)))) for v in g}
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in links], "source long, target long, confidence double")
+    got = {r.n: r.community for r in graph.communities(edges, spark.range(40).select(F.col("id").alias("n")), "n").collect()}
+    assert got == want
+
+
+def test_fuzzy_patterns_against_difflib(spark):
+    import re
+
+    texts = {r.doc_id: (r.text or "").lower() for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(40).collect()} | {-1: "with a the", -2: "", -3: "with the end with the"}
+
+    def score(t):
+        hits = len(re.findall(r"\bwith\s+the\b", t))
+        w = t.split()
+        grams = {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+        best = max(difflib.SequenceMatcher(None, "with the and", g).ratio() for g in grams)
+        return float(hits) or (best if best >= 0.6 else 0.0)
+
+    df = spark.createDataFrame(list(texts.items()), "id long, t string")
+    got = {r.id: r.score for r in retrieval.fuzzy_pattern_score(df, "t", r"\bwith\s+the\b", ["with", "the", "and"], "id").collect()}
+    assert got == {i: score(t) for i, t in texts.items()}
+
+
 def test_bm25_of_several_terms(spark):
     import math
 
