@@ -18,8 +18,7 @@ def squeeze(x: Column) -> Column:
 
 def whitespace_tokens(x: Column) -> Column:
     """As Python's split() without arguments."""
-    s = squeeze(x)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
+    return F.array_remove(F.split(x, r"\s+"), "")
 
 
 def words(x: Column) -> Column:

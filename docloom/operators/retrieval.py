@@ -123,14 +123,21 @@ def weighted_keywords(text: Column, groups: list[tuple[float, list[str]]], confi
 
 def bm25(df: DataFrame, query: list[str], key: str, text: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """key, score for the documents that hold a query word. White-space tokens of the lower-cased text; negative idfs become epsilon times the
-    mean idf of the vocabulary. Term counts are summed before each shuffle; only one row of statistics and the query's idfs are broadcast."""
+    mean idf of the vocabulary. Document counts and lengths come from one pass over the tokens, summed before their shuffle (the null word stands
+    for every document); only a row of statistics and the query's idfs are broadcast."""
     docs = df.select(key, X.whitespace_tokens(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("t"))
     wanted = sorted(set(query))
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    seen = docs.select(F.explode(F.array_distinct("t")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    idf = seen.join(F.broadcast(size)).select("w", "n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    own = [F.max(F.when(F.col("w") == w, F.col("idf"))).alias(f"i{i}") for i, w in enumerate(wanted)]
-    one = F.broadcast(idf.agg(F.avg("idf").alias("mean"), F.max("avgdl").alias("avgdl"), *own))  # one row
+    length = F.when(F.col("w").isNull(), F.col("dl"))
+    seen = docs.select(F.size("t").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), F.lit(None))).alias("w")).groupBy("w").agg(F.count("*").alias("df"), F.sum(length).alias("dl"))
+    # words of one df share their idf: a row for each df
+    own = [F.max(F.when(F.col("w") == w, F.col("df"))).alias(f"d{i}") for i, w in enumerate(wanted)]
+    alike = seen.groupBy("df", F.col("w").isNull().alias("all")).agg(F.count("*").alias("words"), F.max("dl").alias("dl"), *own)
+    total = Window.partitionBy()  # as many rows as there are distinct dfs
+    n = F.max(F.when(F.col("all"), F.col("df"))).over(total)
+    idf = alike.withColumn("n", n).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    single = F.when(~F.col("all"), F.col("idf"))
+    stats = [(F.sum(single * F.col("words")) / F.sum(F.when(~F.col("all"), F.col("words")))).alias("mean"), (F.max(F.when(F.col("all"), F.col("dl"))) / F.max("n")).alias("avgdl")]
+    one = F.broadcast(idf.agg(*stats, *[F.max(F.when(F.col(f"d{i}").isNotNull(), F.col("idf"))).alias(f"i{i}") for i in range(len(wanted))]))  # one row
     counts = [F.size(F.filter("t", _is(w))).alias(f"f{i}") for i, w in enumerate(wanted)]
     hits = docs.select(key, F.size("t").alias("dl"), *counts).where(sum((F.col(f"f{i}") for i in range(len(wanted))), F.lit(0)) > 0).join(one)
     score = F.lit(0.0)

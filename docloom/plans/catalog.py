@@ -391,18 +391,48 @@ def fuzzy_patterns(spark, d):
 
 # -- chunks
 
-
-@query()
+#: A fold over a list in SQL: `out` holds what is done, `held` what is open.
+_LINES = "string_split(coalesce(text, ''), chr(10))"
+_STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_SENTENCES = r"list_filter(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+
+
+def _folded(items: str, start: str, opened: str, nxt: str, done: str, emit: str, kept: str, rest: str, last: str) -> str:
+    """SQL of doc_id, chunk_index, content. `nxt` is what a.held and b.held give together; where `done`, `emit` goes out and `kept` stays open,
+    else `rest` does; `last` says whether what is open at the end goes out, as `emit` of it. {h} stands for nxt."""
+    one = f"{{'out': []::VARCHAR[], 'held': {opened}}}"
+    first = f"{{'out': []::VARCHAR[], 'held': {start}}}"
+    step = f"CASE WHEN {done.replace('{h}', nxt)} THEN {{'out': list_append(a.out, {emit.replace('{h}', nxt)}), 'held': {kept.replace('{h}', nxt)}}} ELSE {{'out': a.out, 'held': {rest.replace('{h}', nxt)}}} END"
+    fold = f"list_reduce(list_prepend({first}, list_transform({items}, lambda x: {one})), lambda a, b: {step})"
+    return f"SELECT doc_id, (generate_subscripts(parts, 1) - 1)::INT AS chunk_index, unnest(parts) AS content FROM (SELECT doc_id, {last} AS parts FROM (SELECT doc_id, text, {fold} AS r FROM documents))"
+
+
+_ACCUMULATED = _folded(
+    f"flatten(list_transform(list_filter({_LINES}, lambda l: {_STRIPPED.format('l')} <> ''), lambda l: {_SENTENCES.format(_STRIPPED.format('l'))}))",
+    "[]::VARCHAR[]", "[x]", "list_concat(a.held, b.held)", "length(array_to_string({h}, ' ')) >= 512 AND len({h}) > 3", "array_to_string({h}, ' ')", "list_slice({h}, -2, -1)", "{h}",
+    "CASE WHEN len(r.held) > 0 THEN list_append(r.out, array_to_string(r.held, ' ')) ELSE r.out END",
+)
+_MERGED = _folded(
+    _LINES, "NULL::VARCHAR", "x", "coalesce(a.held || ' ' || b.held, b.held)", "length({h}) >= 20", "{h}", "NULL::VARCHAR", "{h}", "CASE WHEN r.held IS NULL THEN r.out ELSE list_append(r.out, r.held) END"
+)
+_SPLIT = _folded(
+    _SENTENCES.format(_STRIPPED.format("coalesce(text, '')")), "''", "x", "b.held", "a.held <> '' AND length(a.held) + 1 + length({h}) > 1000", "a.held", "{h}",
+    "CASE WHEN a.held <> '' THEN a.held || ' ' || {h} ELSE {h} END",
+    "CASE WHEN length(coalesce(text, '')) <= 1000 THEN [coalesce(text, '')] WHEN r.held <> '' THEN list_append(r.out, r.held) ELSE r.out END",
+)
+
+
+@query(_ACCUMULATED)
 def sentence_chunks(spark, d):
     return chunking.sentence_chunks(_docs(spark, d))
 
 
-@query()
+@query(_MERGED)
 def merge_short(spark, d):
     return chunking.merged_short_lines(_docs(spark, d))
 
 
-@query()
+@query(_SPLIT)
 def split_long(spark, d):
     return chunking.split_long_texts(_docs(spark, d))
 
