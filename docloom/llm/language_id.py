@@ -6,7 +6,8 @@ penalty for n-grams that the profile lacks. The nearest language is taken; score
 and 1 an exact match. Profiles come from the counts of all learning documents, summed by (language, n-gram) before anything is kept.
 
 Defined cases: null text and text without a letter give `und` and score 0; without learning documents all others give `und` and 0 as well; ties
-go to the language that sorts first; a repeated row repeats its result; extra columns are ignored.
+go to the language that sorts first; a repeated row repeats its result; a very long text is counted whole; a null doc_id counts as the empty text
+in the held-out rule; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

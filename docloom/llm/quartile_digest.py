@@ -7,7 +7,8 @@ bits). The difference of two digests adds the buckets' distances (0, 1, 2 or 6)
 
 Defined cases: null and empty texts have the digest of no bytes (likeness 1 with each other); texts under three bytes have empty buckets and
 differ by length alone; equal texts have equal digests. For the successor of a document, rows go by descending doc_id (null last, equal ids
-by text), and the last one is followed by the first; a table of one row is followed by itself. Extra columns are ignored.
+by text), and the last one is followed by the first; a table of one row is followed by itself. A very long text is counted whole, a megabyte at a time; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
