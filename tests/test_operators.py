@@ -1,6 +1,8 @@
 """Edge rows and rules that the tables do not hold."""
 
 import difflib
+import itertools
+import re
 import uuid
 
 import pytest
@@ -355,3 +357,37 @@ def test_entry_point_without_the_subpackage(spark):
         builtins.__import__ = real
         sys.modules.pop("__spark_entry__", None)
         sys.modules.update(kept)
+
+
+def plain_gibberish(x):
+    """The cleaned text or None, by plain string steps."""
+    words, cids = x.split(), len(re.findall(r"\(cid:[0-9]+\)", x))
+    if len(x) < 10 or (words and cids / len(words) > 0.3) or x.count("�") >= 3:
+        return None
+    if len(x) > 20 and len(re.findall(X.LEGITIMATE, x, re.ASCII)) / len(x) < 0.4:
+        return None
+    y = re.sub(r"\(cid:[0-9]+\)", " ", x)
+    if not re.search(r"^[^.]*\.{10,}[^.]*$", y):
+        y = "".join(c * (3 if n > 10 else n) for c, n in ((c, len(list(g))) for c, g in itertools.groupby(y)))
+    y = re.sub(r"[\x00-\x08\x0e-\x1f\x7f]", " ", y.replace("�", " "))
+    y = re.sub(r"\s+", " ", y, flags=re.ASCII).strip(" ")
+    for mark in "•|¦":
+        y = y.replace(mark, "")
+    for c in ".,;:!?":
+        y = y.replace(c * 3, c).replace(f"{c} {c}", c)
+    y = y.strip(" ")
+    return y if len(y) > 5 else None
+
+
+def test_chunks_and_gibberish_by_brute_force(spark):
+    odd = ["a" * 30 + " bb plain words", "Contents ............ 12", "(cid:1) (cid:2) x", "Wait... what; ; no!!!", "��� some words here", "漢字" * 20, "one two\x07three  four", "• | item list", None, ""]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame(list(enumerate(odd, 10_000_000)), "doc_id long, text string"))
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    got = {r.doc_id: r.t for r in docs.select("doc_id", X.without_gibberish(F.col("text")).alias("t")).collect()}
+    assert got == {k: plain_gibberish(t) for k, t in rows}
+    want = set()
+    for k, t in rows:
+        merged = chunking.merge_short(chunking.accumulate([("NarrativeText", line) for line in t.split("\n")]))
+        parts = [p for c in merged for p in chunking.split_long(c)]
+        want |= {(k, i, plain_gibberish(p)) for i, p in enumerate(parts) if plain_gibberish(p) is not None}
+    assert {tuple(r) for r in chunking.cleaned_chunks(docs).collect()} == want
