@@ -20,6 +20,7 @@ _QUERIES = {
     "op9_quartile_digest": ("docloom.llm.quartile_digest", "op9_quartile_digest"),
     "pipeline": ("corpus_pipeline", "run"),
     "op10_toxicity": ("docloom.llm.toxicity", "op10_toxicity"),
+    "op11_licence_scan": ("docloom.llm.licence_scan", "op11_licence_scan"),
 }
 
 
