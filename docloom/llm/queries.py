@@ -21,6 +21,7 @@ _QUERIES = {
     "pipeline": ("corpus_pipeline", "run"),
     "op10_toxicity": ("docloom.llm.toxicity", "op10_toxicity"),
     "op11_licence_scan": ("docloom.llm.licence_scan", "op11_licence_scan"),
+    "op12_conversation_repair": ("docloom.llm.conversation_repair", "op12_conversation_repair"),
 }
 
 
