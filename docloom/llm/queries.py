@@ -22,6 +22,7 @@ _QUERIES = {
     "op10_toxicity": ("docloom.llm.toxicity", "op10_toxicity"),
     "op11_licence_scan": ("docloom.llm.licence_scan", "op11_licence_scan"),
     "op12_conversation_repair": ("docloom.llm.conversation_repair", "op12_conversation_repair"),
+    "op13_token_alignment": ("docloom.llm.token_alignment", "op13_token_alignment"),
 }
 
 
