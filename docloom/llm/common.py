@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests in one process) a local one is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset in a local session (tests) a local one is made."""
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if conf:
@@ -26,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf)
         return conf
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docloom-"))
     return sc.getCheckpointDir()
 

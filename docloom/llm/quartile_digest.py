@@ -95,49 +95,56 @@ _NONE = LEAST_LONG
 
 def with_successor(docs: DataFrame, each, schema: T.StructType) -> DataFrame:
     """Rows of each(doc_id, text, next doc's text, memory) for every document. Rows are dealt by ranges of doc_id (one shuffle, of texts packed with
-    zstandard) and sorted; the last of a range finds its successor in a copy of the first row of the next range, sent along with it. A task
-    holds two documents at a time. memory: a dict that is handed from a row to the next in order."""
+    zstandard) and sorted; an id that holds many rows has several ranges, by the hash of its texts. The last of a range finds its successor in a
+    copy of the first row of the next range, sent along with it. A task holds two documents at a time. memory: a dict that is handed from a row to
+    the next in order."""
     import zstandard
 
     spark = docs.sparkSession
     bounds = range_bounds(docs, "doc_id", 4 * parts(spark))
-    cuts = Ranges(sorted(set(bounds)))
-    none = lambda n: np.zeros(n, np.uint64)
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"))
+    cuts = Ranges(bounds)
+    tie = F.xxhash64(F.coalesce("text", F.lit(""))) if cuts.own.any() else F.lit(0).cast("long")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), tie.alias("tie"), "text")
+
+    def places(b):
+        """Ties as longs rise like unsigned ones with the other first bit."""
+        return cuts.of(b.column("doc_id").to_numpy(), (b.column("tie").to_numpy() ^ np.int64(_NONE)).view(np.uint64)).astype("i4")
 
     def ranged(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(cuts.of(b.column("doc_id").to_numpy(), none(b.num_rows)).astype("i4")), b.column("doc_id")], names=["range", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(places(b)), b.column("doc_id"), b.column("tie")], names=["range", "doc_id", "tie"])
 
-    # at most 8192 rows: the largest id of each range that has rows
-    tops = sorted((r["range"], r["top"]) for r in ids.mapInArrow(ranged, "range int, doc_id long").groupBy("range").agg(F.max("doc_id").alias("top")).collect())
-    follows = {}  # largest id of a range -> the range before which it is wanted
+    # as many rows as ranges: the first one of each that has rows
+    firsts = keyed.select("doc_id", "tie").mapInArrow(ranged, "range int, doc_id long, tie long").groupBy("range").agg(F.max(F.struct("doc_id", "tie")).alias("top")).collect()
+    tops = sorted((r["range"], tuple(r["top"])) for r in firsts)
+    follows = {}  # first (id, tie) of a range -> the range before which it is wanted
     for (_, low), (high_range, _) in zip(tops, tops[1:], strict=False):
         follows.setdefault(low, []).append(high_range)
     if tops:
         follows.setdefault(tops[-1][1], []).append(tops[0][0])
-    packed = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("copy", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType())])
+    packed = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("copy", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("text", T.BinaryType())])
 
     def pack(batches):
-        compress = zstandard.ZstdCompressor(level=3).compress
+        compress, copied = zstandard.ZstdCompressor(level=3).compress, {}
         for b in batches:
-            ids = b.column("doc_id").to_numpy()
-            texts = b.column("text").to_pylist()
-            ranges = cuts.of(ids, none(len(ids)))
+            ids, ties, texts, ranges = b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), b.column("text").to_pylist(), places(b).tolist()
             for lo in range(0, len(texts), 500):
                 rows = []
-                for r, i, t in zip(ranges[lo : lo + 500].tolist(), ids[lo : lo + 500].tolist(), texts[lo : lo + 500], strict=True):
+                for r, i, h, t in zip(*(c[lo : lo + 500] for c in (ranges, ids, ties, texts)), strict=True):
                     x = compress((t or "").encode())
-                    rows.append((r, 0, i, x))
-                    rows += [(to, 1, i, x) for to in follows.get(i, ())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=packed.names)
+                    rows.append((r, 0, i, h, x))
+                    # of the rows that a range may begin with, a task sends the least packed text so far
+                    if (i, h) in follows and x < copied.get((i, h), x + b"\0"):
+                        copied[i, h] = x
+                        rows += [(to, 1, i, h, x) for to in follows[i, h]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=packed.names)
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         names, kinds = schema.names, [T_ARROW[type(f.dataType)] for f in schema.fields]
         before, memory, wanted, rows = None, {}, False, []
         for b in batches:
-            for r, copy, i, x in zip(*(b.column(k).to_pylist() for k in packed.names), strict=True):
+            for r, copy, i, _, x in zip(*(b.column(k).to_pylist() for k in packed.names), strict=True):
                 if copy and not wanted:
                     continue  # a second row with the id of the range's last
                 text = unpack(x).decode()
@@ -152,9 +159,9 @@ def with_successor(docs: DataFrame, each, schema: T.StructType) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    # equal ids and copies: by the packed text, which equal texts share; the copy that is taken is the first of its range in the same order
-    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), "text").mapInArrow(pack, packed)
-    return dealt.repartition(parts(spark), "range").sortWithinPartitions("range", "copy", F.desc("doc_id"), "text").mapInArrow(run, schema)
+    # equal ids: by tie and packed text, which equal texts share; the copy that is taken is the first of its range in the same order
+    dealt = keyed.mapInArrow(pack, packed)
+    return dealt.repartition(parts(spark), "range").sortWithinPartitions("range", "copy", F.desc("doc_id"), F.desc("tie"), "text").mapInArrow(run, schema)
 
 
 T_ARROW = {T.LongType: pa.int64(), T.StringType: pa.string(), T.DoubleType: pa.float64()}

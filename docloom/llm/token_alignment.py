@@ -43,7 +43,9 @@ RUN, WORDS = 400_000, 50_000
 SPACE = "▁"
 #: White space of any library's reckoning.
 _WHITE = "\\s\u180e\u200b\ufeff"
-_CUT, _ODD = re.compile(f"(?<=[^{_WHITE}]) "), re.compile(f"^ |[{_WHITE}] ")
+#: What a word has in place of ids if its bytes don't come back.
+_FOREIGN = (b"", b"", 0)
+_CUT, _ODD, _ENDS_WHITE = re.compile(f"(?<=[^{_WHITE}]) "), re.compile(f"^ |[{_WHITE}] "), re.compile(f"[{_WHITE}]$")
 #: Characters that all versions of Unicode put in the same classes.
 _PLAIN = re.compile("[\\n\\t -~\u00a1-\u00ac\u00ae-\u00ff]*")
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
@@ -82,17 +84,11 @@ class ByteSide:
             ranks = {self.bytes[i]: i for i in range(256 + len(merges))}
             self.quick = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        out, slow = [None] * len(words), []
-        for k, w in enumerate(words):
-            if self.quick is not None and _PLAIN.fullmatch(w):
-                out[k] = self.quick.encode_ordinary(" " + w)
-            else:
-                slow.append(k)
-        if slow:
-            for k, e in zip(slow, self.library.encode_batch([" " + words[k] for k in slow], add_special_tokens=False), strict=True):
-                out[k] = e.ids
-        return out
+    def encode(self, text: str) -> list[int]:
+        """Ids of " " + text."""
+        if self.quick is not None and _PLAIN.fullmatch(text):
+            return self.quick.encode_ordinary(" " + text)
+        return self.library.encode(" " + text, add_special_tokens=False).ids
 
 
 class PieceSide:
@@ -107,9 +103,9 @@ class PieceSide:
         plain = [p for i, p in enumerate(pieces) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in plain) and sp.normalize(" é  éﬁ\n x ") == f"{SPACE}{SPACE}é{SPACE}{SPACE}éﬁ\n{SPACE}x{SPACE}"
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """An empty word (behind a space that ends a text) is the space alone, which the library doesn't put before nothing."""
-        return [ids or [self.sp.piece_to_id(SPACE)] for ids in self.sp.encode(words, num_threads=1)]
+    def encode(self, text: str) -> list[int]:
+        """Ids of " " + text. Nothing (behind a space that ends a text) is the space alone, which the library doesn't put before nothing."""
+        return self.sp.encode(text) or [self.sp.piece_to_id(SPACE)]
 
 
 class Pair:
@@ -129,16 +125,47 @@ class Pair:
             return [text]
         return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
-    def learn(self, words) -> dict:
-        """Ids (as bytes) of both sides for each word; None where a side doesn't give the word's bytes back."""
-        new = self.seen.missing(words)
-        if new:
-            a_bytes, b_bytes = self.a.bytes, self.b.bytes
-            for w, a, b in zip(new, self.a.encode(new), self.b.encode(new), strict=True):
+    def ids(self, words: list[str]) -> list[tuple[bytes, bytes, int]]:
+        """Ids of both sides for each word, and its bytes; no bytes where a side doesn't give the word's own back."""
+        held = list(map(self.seen.young.get, words))
+        if None in held:
+            full = len(self.seen.young) > self.seen.limit or self.seen.held > self.seen.chars
+            self._learn(self.seen.missing(set(words) if full else {w for w, h in zip(words, held, strict=True) if h is None}))
+            held = list(map(self.seen.young.__getitem__, words))
+        return held
+
+    def _learn(self, words: list[str]) -> None:
+        """New words. Those that may be cut apart again are encoded in one text: of characters that all libraries class alike, and others."""
+        alike = [w for w in words if w and _PLAIN.fullmatch(w) and not w[-1].isspace()]
+        other = [w for w in set(words).difference(alike) if w and not _ENDS_WHITE.search(w)]
+        for group in (alike, other) if self.a.cuts and self.b.cuts else ():
+            self._learn_joined(group)
+        for w in words:
+            if w not in self.seen.young:
                 raw = b" " + w.encode()
-                same = b"".join([a_bytes[i] for i in a]) == raw and b"".join([b_bytes[i] for i in b]) == raw
-                self.seen.young[w] = (np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes(), len(raw)) if same else None
-        return self.seen.young
+                a, b = self.a.encode(w), self.b.encode(w)
+                same = b"".join([self.a.bytes[i] for i in a]) == raw and b"".join([self.b.bytes[i] for i in b]) == raw
+                self.seen.young[w] = (np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes(), len(raw)) if same else _FOREIGN
+
+    def _learn_joined(self, words: list[str]) -> None:
+        text = " ".join(words)
+        raw = b" " + text.encode()
+        sizes = [1 + len(w.encode()) for w in words]
+        ends = np.cumsum(sizes)
+        sides = []
+        for side, reach in zip((self.a, self.b), self.reach, strict=True):
+            ids = side.encode(text) if words else []
+            if b"".join([side.bytes[i] for i in ids]) != raw:
+                return  # some word's bytes don't come back: word by word
+            ids = np.array(ids, self.kind)
+            last = np.cumsum(reach[ids])
+            at = np.searchsorted(last, ends)
+            if not (last[np.minimum(at, len(last) - 1)] == ends).all():
+                return
+            cut = [0, *((at + 1) * self.kind.itemsize).tolist()]
+            flat = ids.tobytes()
+            sides.append([flat[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)])
+        self.seen.young.update(zip(words, zip(*sides, sizes, strict=True), strict=True))
 
 
 @functools.cache
@@ -217,39 +244,57 @@ def end_events(df: DataFrame, a_path: str, b_path: str, key: str, text: str) ->
             held = [[block] * 2, [first] * 2, [0, 1], packed, [keys, None], [ends, None]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, arrow, strict=True)], schema=arrow)
 
-        for b in batches:
-            texts, ids = b.column(text), b.column(key)
-            for i in range(b.num_rows):
-                whole, doc = texts[i].as_py() or "", ids[i].as_py()
-                if whole and at and chars + len(whole) > BLOCK:
-                    if keys or sides[0]:
-                        yield rows()
-                    block, first, at, chars, keys, ends, sides = block + 1, 0, 0, 0, [], [], ([], [])
-                chars += len(whole)
-                words = pair.words(whole) if whole else []
-                start, good = 0, True
-                if len(words) > WORDS:  # words with foreign bytes are looked for before the first run is written
-                    good = all(all(map(pair.learn(set(words[k : k + WORDS])).__getitem__, words[k : k + WORDS])) for k in range(0, len(words), WORDS))
-                while good and start < len(words):
-                    stop = start + WORDS
-                    held = list(map(pair.learn(set(words[start:stop])).__getitem__, words[start:stop]))
-                    start = stop
-                    if not all(held):
-                        good = False
-                        break
-                    xs, ys, ns = zip(*held, strict=True)
+        def taken(waiting):
+            """Documents of one run: their words are looked up together."""
+            nonlocal at
+            words = [w for _, ws in waiting for w in ws]
+            held, start = pair.ids(words), 0
+            for doc, ws in waiting:
+                own, start = held[start : start + len(ws)], start + len(ws)
+                xs, ys, ns = zip(*own, strict=True) if own else ((), (), ())
+                if all(ns):
                     sides[0].extend(xs)
                     sides[1].extend(ys)
                     at += sum(ns)
-                    if start < len(words):
-                        yield rows()
-                        first, keys, ends, sides = at, [], [], ([], [])
                 keys.append(doc)
                 ends.append(at)
-                if at - first > RUN or len(keys) >= 4096:
+
+        waiting, size = [], 0
+        for b in batches:
+            texts, ids = b.column(text), b.column(key)
+            for i in range(b.num_rows):
+                whole, doc = texts[i].as_py() or "", ids[i].as_py()
+                new_block = bool(whole) and chars and chars + len(whole) > BLOCK
+                if waiting and (new_block or size + len(whole) > RUN or len(waiting) >= 4096):
+                    taken(waiting)
+                    yield rows()
+                    first, keys, ends, sides, waiting, size = at, [], [], ([], []), [], 0
+                if new_block:
+                    block, first, at, chars = block + 1, 0, 0, 0
+                chars, size = chars + len(whole), size + len(whole)
+                words = pair.words(whole) if whole else []
+                if len(words) <= WORDS:
+                    waiting.append((doc, words))
+                    continue
+                # a long document is a run for every WORDS words; foreign bytes are looked for before the first one is written
+                if waiting:
+                    taken(waiting)
                     yield rows()
-                    first, keys, ends, sides = at, [], [], ([], [])
-        if keys or sides[0]:
+                    first, keys, ends, sides, waiting = at, [], [], ([], []), []
+                spans = range(0, len(words), WORDS)
+                if all(n for k in spans for _, _, n in pair.ids(words[k : k + WORDS])):
+                    for k in spans:
+                        xs, ys, ns = zip(*pair.ids(words[k : k + WORDS]), strict=True)
+                        sides = (list(xs), list(ys))
+                        at += sum(ns)
+                        if k + WORDS < len(words):
+                            yield rows()
+                            first = at
+                keys, ends = [doc], [at]
+                yield rows()
+                first, keys, ends, sides, size = at, [], [], ([], []), 0
+        if waiting:
+            taken(waiting)
             yield rows()
 
     return df.select(key, text).mapInArrow(run, schema)

@@ -148,4 +148,11 @@ def test_quick_library_is_the_same():
     words = [w for t in random_texts(3000, seed=4) for w in pair.words(t)]
     words += [chr(c) * n + x for c in range(32, 256) for n in (1, 2) for x in ("", "a", " ", "'s")]
     assert pair.a.quick is not None and pair.a.cuts and pair.b.cuts
-    assert pair.a.encode(words) == [library.encode(" " + w, add_special_tokens=False).ids for w in words]
+    assert [pair.a.encode(w) for w in words] == [library.encode(" " + w, add_special_tokens=False).ids for w in words]
+
+
+def test_words_learned_together_are_words_alone():
+    together, alone = ta.Pair(A, B), ta.Pair(A, B, cache=1)
+    words = sorted({w for t in random_texts(2000, seed=9) for w in together.words(t)})
+    assert together.ids(words) == [alone.ids([w])[0] for w in words]
+    assert any(h[2] == 0 for h in together.ids(words)) and sum(h[2] > 0 for h in together.ids(words)) > 1000

@@ -282,3 +282,19 @@ def test_query_batches_agree(spark):
 
 def test_op4_empty(spark, tmp_path):
     assert lm_automaton.op4_lm_automaton(spark, saved(spark, tmp_path / "d", [])).count() == 0
+
+
+def test_op9_one_id(spark, tmp_path):
+    """All rows hold one id: they are cut into ranges by their texts, and each still has one successor."""
+    rows = [(5, f"text {i % 150} of many, " * (1 + i % 7), "en", "a") for i in range(400)]
+    folder = saved(spark, tmp_path / "d", rows)
+    got = quartile_digest.op9_quartile_digest(spark, folder).collect()
+    texts = [r[1] for r in rows]
+    assert sorted(r.fingerprint for r in got) == sorted(plain_digest(t.encode()) for t in texts) and {r.doc_id for r in got} == {5}
+    # the order of equal ids, over all rows: signed XXH64 falling, equal texts together
+    ties = {r.text: r.h for r in spark.read.parquet(f"{folder}/documents.parquet").selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(texts, key=lambda t: -ties[t])
+    want = []
+    for t, n in zip(order, [*order[1:], order[0]], strict=True):
+        want.append(hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest())
+    assert sorted(r.edited_sha256 for r in got) == sorted(want)
