@@ -111,7 +111,7 @@ def without_gibberish(x: Column, runs: bool = True) -> Column:
 
 
 def capitalised(x: Column) -> Column:
-    return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))
 
 
 def shortened(x: Column, most: int = 200) -> Column:

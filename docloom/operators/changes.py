@@ -52,9 +52,10 @@ def changed_only(old: DataFrame, new: DataFrame, key: str, compared: list[str])
 
 
 def update_from(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    n = new.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    """old with the columns of the new row of the same key, also where that row clears them."""
+    n = new.select(key, F.struct(*columns).alias("_new"))
     out = old.join(n, key, "left")
-    return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns])
+    return out.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
 
 
 def cascade_delete(documents: DataFrame, chunks: DataFrame, edges: DataFrame, gone: DataFrame, key: str = "doc_id", chunk: str = "chunk_id", source: str = "source", target: str = "target"):

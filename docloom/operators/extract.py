@@ -15,7 +15,7 @@ def entity_tags(text: Column, sectors: str = L.SECTORS, policy: str = L.POLICY_T
     """struct(years, sectors, has_target, has_policy)."""
     years = F.regexp_extract_all(text, F.lit(r"\b(20[0-9]{2})\b"), F.lit(1))
     years = F.when(text.rlike(r"(?i)\bmid[-\s]?century\b"), F.array_append(years, F.lit("2050"))).otherwise(years)
-    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(rf"\b({sectors})\b"), F.lit(1)), lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1000)))
+    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(rf"\b({sectors})\b"), F.lit(1)), lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2))))
     return F.struct(F.array_sort(F.array_distinct(years)).alias("years"), F.array_sort(F.array_distinct(found)).alias("sectors"), F.lower(text).rlike(target).alias("has_target"), F.lower(text).rlike(policy).alias("has_policy"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.folders import written
+
 
 def context(df: DataFrame, group: str, order: str, text: str) -> DataFrame:
     """group, context: 'CHUNK i: text' in order, blank lines between."""
@@ -18,11 +20,25 @@ def sections(df: DataFrame, group: str, order: str, title: str, text: str) -> Da
     return g.select(group, F.array_join(F.transform("r", lambda x: F.concat(F.lit("\n## "), x["t"], F.lit("\n"), x["x"], F.lit("\n"))), "").alias("content"))
 
 
-def nested_json(df: DataFrame, outer: str, inner: str, order: str, fields: list[str]) -> DataFrame:
-    """outer, json: {"questions": [{inner, chunk_count, chunks: [...]}]} with chunks in order."""
-    g = df.groupBy(outer, inner).agg(F.array_sort(F.collect_list(F.struct(F.col(order), *[F.col(f) for f in fields]))).alias("chunks"))
-    q = g.select(outer, F.struct(F.col(inner), F.size("chunks").alias("chunk_count"), F.col("chunks")).alias("q")).groupBy(outer).agg(F.array_sort(F.collect_list("q")).alias("questions"))
-    return q.select(outer, F.to_json(F.struct("questions")).alias("json"))
+def nth_within(df: DataFrame, group: list[str], into: str, *order: Column | str) -> DataFrame:
+    """df with `into`: each row's place in its group, from 0. Groups are cut into ranges of rows, so that a hot one is many tasks' work; a range's
+    rows are counted, and what stands before it in the group is added."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()))
+    before = dealt.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = before.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_part").alias("_of"), (F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")).alias("_before"))
+    placed = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order)) - 1)
+    same = F.col("_part") == F.col("_of")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return placed.join(before, same).withColumn(into, F.col("_before") + F.col("_nth")).select(*df.columns, into)
+
+
+def nested_json(df: DataFrame, outer: str, inner: str, order: str, fields: list[str], page: int = 1000) -> DataFrame:
+    """outer, inner, page, json: {inner, chunk_count, chunks: [...]} with chunks in order, `page` of them at most in one row."""
+    rows = nth_within(df.select(outer, inner, order, *fields), [outer, inner], "page", order, *fields).withColumn("page", F.floor(F.col("page") / page).cast("int"))
+    g = rows.groupBy(outer, inner, "page").agg(F.array_sort(F.collect_list(F.struct(F.col(order), *[F.col(f) for f in fields]))).alias("chunks"))
+    return g.select(outer, inner, "page", F.to_json(F.struct(F.col(inner), F.size("chunks").alias("chunk_count"), F.col("chunks"))).alias("json"))
 
 
 def answer_box(label: Column, answer: Column, quote: Column, confidence: Column) -> Column:
@@ -52,7 +68,7 @@ def answer_with_citations(citations: DataFrame, chunks: DataFrame, cited: str, c
 def cited_contents(citations: DataFrame, group: str, text: str, order: list[str]) -> DataFrame:
     """group, nth, text: each content once, in the order in which it is first cited. Copies are summed before any order is made."""
     first = citations.groupBy(group, text).agg(F.min(F.struct(*order)).alias("_o"))
-    return first.select(group, F.row_number().over(Window.partitionBy(group).orderBy("_o")).alias("nth"), text)
+    return nth_within(first, [group], "nth", "_o", text).select(group, (F.col("nth") + 1).cast("int").alias("nth"), text)
 
 
 def upload_summary(rows: DataFrame, ok: Column, amount: str) -> DataFrame:
@@ -91,7 +107,8 @@ def chain(language: Column, chains: dict[str, str], default: str) -> Column:
     return out
 
 
-def by_period(rows: DataFrame, group: str, period: str, periods: list[str], item: str) -> DataFrame:
-    """group and a column for each period: its items in order, all in one pass."""
+def by_period(rows: DataFrame, group: str, period: str, periods: list[str], item: str, page: int = 1000) -> DataFrame:
+    """group, page and a column for each period: its items in order, `page` of them at most in one row."""
+    placed = nth_within(rows.where(F.col(period).isin(*periods)).select(group, period, item), [group, period], "page", item).withColumn("page", F.floor(F.col("page") / page).cast("int"))
     own = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(period) == p, F.col(item)))), lambda x: x.cast("string")), ", ").alias(p) for p in periods]
-    return rows.groupBy(group).agg(*own)
+    return placed.groupBy(group, "page").agg(*own)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -43,8 +44,9 @@ def over_max(df: DataFrame, score: str) -> DataFrame:
 
 
 def first_of(df: DataFrame, same: list[str], *order: Column) -> DataFrame:
-    """One row for each value of `same`: the first in order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy(*order))).where("_n = 1").drop("_n")
+    """One row for each value of `same`: the first in order. Text is compared by a 256-bit hash, which is what the shuffle sorts by."""
+    keys = [F.sha2(F.col(c).cast("binary"), 256) if df.schema[c].dataType.simpleString() == "string" else F.col(c) for c in same]
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
 def keyword_share(text: Column, words: list[str]) -> Column:
@@ -222,9 +224,10 @@ def ratio_udf(least: float = 0.0):
 
 
 def token_set_ratio_udf():
-    """0..1: the best ratio among the shared words and each side's words, sorted."""
+    """0..1: the best ratio among the shared words and each side's words, sorted. Words are lower-cased runs of letters, digits and underscores."""
+
     def one(a, b):
-        x, y = set((a or "").lower().split()), set((b or "").lower().split())
+        x, y = (set(re.sub(r"\W", " ", z or "").lower().split()) for z in (a, b))
         if not x or not y:
             return 0.0
         both = " ".join(sorted(x & y))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.functions import vector as V
-from docloom.operators import changes, chunking, embedding, evaluation, extract, graph, knn, report, retrieval
+from docloom.operators import changes, chunking, embedding, evaluation, extract, fulltext, graph, knn, report, retrieval, vector_index
+from docloom.operators.folders import shared
 from docloom.sources import readers
 from docloom.sources.readers import table
-from docloom.streaming import feeds
+from docloom.streaming import feeds, rescrape
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -50,7 +53,9 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _vector(spark, d, vec_id: int) -> list[float]:
-    return list(table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
+    """The vector of a row; without that row one of no length, which is like nothing."""
+    row = table(spark, d, "embeddings").where((F.col("vec_id") == vec_id) & F.col("embedding").isNotNull()).select("embedding").first()
+    return list(row[0]) if row else []
 
 
 def _docs(spark, d):
@@ -252,6 +257,18 @@ def knn_euclidean(spark, d):
     return knn.nearest(e, e, 4, "vec_id", "embedding", "euclidean", 10)
 
 
+@query(f"SELECT source, target, score, rank FROM ({_KNN}5) WHERE source % 20 = 0")
+def ivf_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    return vector_index.search(vector_index.build(e, "vec_id", "embedding"), e.where("vec_id % 20 = 0"), "vec_id", "embedding", 5)
+
+
+@query(f"{_KNN}3")
+def ivf_graph(spark, d):
+    e = table(spark, d, "embeddings")
+    return vector_index.search(vector_index.build(e, "vec_id", "embedding"), e, "vec_id", "embedding", 3)
+
+
 @query("SELECT count(*)::BIGINT AS n, sum((len(list_filter(embedding, lambda x: x <> 0)) = 0)::INT)::BIGINT AS n_zero, max(len(embedding))::INT AS dims FROM embeddings")
 def zero_vectors(spark, d):
     return table(spark, d, "embeddings").agg(F.count("*").alias("n"), F.sum(V.is_zero(F.col("embedding")).cast("long")).alias("n_zero"), F.max(F.size("embedding")).alias("dims"))
@@ -622,10 +639,15 @@ def multi_hop(spark, d):
     return _walk(spark, d, _edges(spark, d))
 
 
-def _walk(spark, d, edges):
+def _walk(spark, d, edges, k=None):
     match, rank = retrieval.full_text(F.col("text"), TERMS)
     matches = _docs(spark, d).where(match).select(F.col("doc_id").alias("id"), F.round(rank, 6).alias("relevance"))
-    return graph.multi_hop(edges, matches, "id", "relevance", least_edge=0.6)
+    return graph.multi_hop(edges, matches, "id", "relevance", least_edge=0.6, k=k)
+
+
+@query(f"{_SQL['multi_hop']} ORDER BY 3 DESC, 4 DESC, 2, 1 LIMIT 40")
+def multi_hop_top(spark, d):
+    return _walk(spark, d, _edges(spark, d), k=40)
 
 
 @query(f"SELECT source, target, confidence FROM {_EDGES} WHERE confidence > 0.5 AND source % 2 = 0 AND target % 2 = 0")
@@ -701,9 +723,23 @@ def label_rules(spark, d):
     return extract.labels_of(_docs(spark, d), "doc_id", "text", sets=_SETS)
 
 
-@query(r"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\b(20[0-9]{2})\b', 1))) AS years FROM documents""")
+@query(r"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\b(20[0-9]{2})\b', 1) || CASE WHEN regexp_matches(text, '(?i)\bmid[-\s]?century\b') THEN ['2050'] ELSE [] END)) AS years,
+list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '\b(the|and|with)\b', 1), lambda w: upper(w[1]) || w[2:]))) AS sectors, regexp_matches(lower(text), 'to the|of the') AS has_target, regexp_matches(lower(text), 'from|this') AS has_policy FROM documents""")
 def entity_years(spark, d):
-    return _docs(spark, d).select("doc_id", extract.entity_tags(F.col("text"))["years"].alias("years"))
+    tags = extract.entity_tags(F.col("text"), _SETS.SECTORS, _SETS.POLICY_TYPES, _SETS.NET_ZERO)
+    return _docs(spark, d).select("doc_id", tags.alias("t")).select("doc_id", "t.years", "t.sectors", "t.has_target", "t.has_policy")
+
+
+LICENSED = ("license", "licensed", "licenses", "licensing")
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest(t) AS w, unnest(range(0, len(t))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS t FROM documents)),
+s AS (SELECT doc_id, pos, w IN {LICENSED} AS x FROM w WHERE w IN {LICENSED} OR w IN ('version', 'versions')),
+c AS (SELECT *, lag(pos) OVER o AS before, lag(x) OVER o AS y FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, round(sum(1.0::DOUBLE / (pos - before)), 6) AS rank FROM c WHERE x <> y GROUP BY doc_id""")
+def stemmed_search(spark, d):
+    index = fulltext.stored(_docs(spark, d), "doc_id", "text", f"{shared(spark)}/postings-{uuid.uuid4().hex}")
+    return fulltext.search(index, "the licensing of versions", "doc_id")
 
 
 @query()
@@ -726,11 +762,9 @@ def section_text(spark, d):
     return report.sections(table(spark, d, "conversations"), "conv_id", "turn", "role", "text")
 
 
-@query("""SELECT lang, count(DISTINCT source)::BIGINT AS n_questions, count(*)::BIGINT AS n_chunks FROM documents GROUP BY lang""")
+@query("SELECT lang, source, page, to_json({'source': source, 'chunk_count': count(*)::INT, 'chunks': list({'doc_id': doc_id, 'n_chars': n_chars} ORDER BY doc_id)})::VARCHAR AS json FROM (SELECT *, ((row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1) // 100)::INT AS page FROM documents) GROUP BY lang, source, page")
 def country_json(spark, d):
-    j = report.nested_json(_docs(spark, d), "lang", "source", "doc_id", ["n_chars"])
-    parsed = j.select("lang", F.from_json("json", "questions array<struct<source:string,chunk_count:int,chunks:array<struct<doc_id:bigint>>>>").alias("j"))
-    return parsed.select("lang", F.size("j.questions").cast("long").alias("n_questions"), F.aggregate("j.questions", F.lit(0).cast("long"), lambda n, q: n + q["chunk_count"]).alias("n_chunks"))
+    return report.nested_json(_docs(spark, d), "lang", "source", "doc_id", ["n_chars"], page=100)
 
 
 @query("SELECT conv_id, turn, d.source, (d.doc_id IS NOT NULL) AS verified FROM conversations LEFT JOIN documents d ON conv_id = d.doc_id")
@@ -758,6 +792,25 @@ def first_last_seen(spark, d):
     return feeds.seen(table(spark, d, "events"), "user_id")
 
 
+_VISITS = """WITH e AS (SELECT user_id::VARCHAR AS url, event_type AS content, epoch_us(ts) AS us FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+d AS (SELECT url, us, min(content) AS content FROM e GROUP BY url, us),
+g AS (SELECT *, (lag(us) OVER w IS NULL OR us - lag(us) OVER w > 10800000000)::INT AS fresh, lag(content) OVER w AS before FROM d WINDOW w AS (PARTITION BY url ORDER BY us)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY url ORDER BY us) AS run FROM g),
+v AS (SELECT *, row_number() OVER w AS attempts, min(us) OVER (PARTITION BY url, run) AS first, max(us) OVER (PARTITION BY url, run) AS final, max(run) OVER (PARTITION BY url) AS runs FROM r WINDOW w AS (PARTITION BY url, run ORDER BY us)),
+c AS (SELECT url, CASE WHEN fresh = 1 THEN 'new' WHEN content = before THEN 'unchanged' ELSE 'updated' END AS change, content, attempts, first, us AS last FROM v
+UNION ALL SELECT url, 'removed', content, attempts, first, us FROM v WHERE us = final AND (run < runs OR us + 10800000000 <= (SELECT max(us) FROM e) - 600000000))
+SELECT url, change, content, attempts::BIGINT AS attempts, make_timestamp(first) AS first_seen, make_timestamp(last) AS last_seen FROM c"""
+
+
+@query(_VISITS)
+def rescrape_stream(spark, d):
+    folder = f"{shared(spark)}/rescrape-{uuid.uuid4().hex}"
+    stream = rescrape.visits(rescrape.replay(table(spark, d, "events"), "ts", f"{folder}/in"), "user_id", "event_type", "ts", timedelta(hours=3))
+    rescrape.run(spark, stream, f"{folder}/out", f"{folder}/checkpoint")
+    out = spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})
+
+
 # -- embeddings, questions and verdicts
 
 _VOCAB = r"SELECT DISTINCT w AS word, [length(w)::DOUBLE, ascii(w)::DOUBLE] AS vector FROM (SELECT unnest(" + _TOKENS + ") AS w FROM benchmark)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.functions import vector as V
 from docloom.operators import changes, chunking, evaluation, extract, graph, report, retrieval
+from docloom.plans import catalog
 from docloom.plans.catalog import _NEW, _OLD, _Q0, _TOKENS, INDICATORS, _docs, _old_new, _vector, query
 from docloom.sources import readers
 from docloom.sources.readers import table
@@ -218,19 +219,20 @@ def expanded_queries(spark, d):
     return _docs(spark, d).select("doc_id", retrieval.expanded(F.lit("targets"), F.col("source"), F.col("lang"), words, ["a", "b", "c", "d", "e", "f"]).alias("query"))
 
 
-@query("SELECT m.node, m.hops, d.lang FROM (SELECT doc_id AS node, (doc_id % 4)::INT AS hops FROM documents WHERE doc_id % 3 = 0) m JOIN documents d ON d.doc_id = m.node WHERE d.lang = 'de'")
+@query(f"SELECT m.*, d.lang FROM ({catalog._SQL['multi_hop']}) m JOIN documents d ON d.doc_id = m.node WHERE d.lang = 'en'")
 def hops_by_country(spark, d):
-    hops = _docs(spark, d).where("doc_id % 3 = 0").select(F.col("doc_id").alias("node"), (F.col("doc_id") % 4).cast("int").alias("hops"))
-    return graph.of_country(hops, _docs(spark, d), "node", "doc_id", "lang", "de").select("node", "hops", "lang")
+    hops = catalog._walk(spark, d, catalog._edges(spark, d))
+    return graph.of_country(hops, _docs(spark, d), "node", "doc_id", "lang", "en").select("node", "hops", "confidence", "relevance", "lang")
 
 
 # -- stored frames
 
 
-@query(f"SELECT o.doc_id, o.lang, coalesce(n.source, o.source) AS source, o.hash FROM {_OLD} o LEFT JOIN {_NEW} n USING (doc_id)")
+@query(f"SELECT o.doc_id, o.lang, CASE WHEN n.doc_id IS NULL THEN o.source WHEN n.doc_id % 13 <> 0 THEN n.source END AS source, o.hash FROM {_OLD} o LEFT JOIN {_NEW} n USING (doc_id)")
 def update_from(spark, d):
     old, new = _old_new(spark, d)
-    return changes.update_from(old, new, "doc_id", ["source"])
+    cleared = new.withColumn("source", F.when(F.col("doc_id") % 13 != 0, F.col("source")))
+    return changes.update_from(old, cleared, "doc_id", ["source"])
 
 
 @query("SELECT source, target FROM (SELECT doc_id AS source, doc_id + 1 AS target FROM documents) WHERE source % 10 <> 0 AND target % 10 <> 0")
@@ -305,10 +307,10 @@ def chain_of_language(spark, d):
     return _docs(spark, d).select("doc_id", report.chain(F.col("lang"), {"en": "english"}, "multilingual").alias("chain"))
 
 
-@query("SELECT lang, coalesce(string_agg(CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR END, ', ' ORDER BY doc_id), '') AS near_term, coalesce(string_agg(CASE WHEN doc_id % 3 = 1 THEN doc_id::VARCHAR END, ', ' ORDER BY doc_id), '') AS mid_term, coalesce(string_agg(CASE WHEN doc_id % 3 = 2 THEN doc_id::VARCHAR END, ', ' ORDER BY doc_id), '') AS long_term FROM documents WHERE doc_id < 100 GROUP BY lang".replace(" WHERE doc_id < 100", ""))
+@query("SELECT lang, page, coalesce(string_agg(CASE WHEN p = 0 THEN doc_id::VARCHAR END, ', ' ORDER BY doc_id), '') AS near_term, coalesce(string_agg(CASE WHEN p = 1 THEN doc_id::VARCHAR END, ', ' ORDER BY doc_id), '') AS mid_term, coalesce(string_agg(CASE WHEN p = 2 THEN doc_id::VARCHAR END, ', ' ORDER BY doc_id), '') AS long_term FROM (SELECT lang, doc_id, doc_id % 3 AS p, ((row_number() OVER (PARTITION BY lang, doc_id % 3 ORDER BY doc_id) - 1) // 50)::INT AS page FROM documents) GROUP BY lang, page")
 def sector_periods(spark, d):
     period = F.element_at(F.array(F.lit("near_term"), F.lit("mid_term"), F.lit("long_term")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return report.by_period(_docs(spark, d).select("lang", "doc_id", period.alias("period")), "lang", "period", ["near_term", "mid_term", "long_term"], "doc_id")
+    return report.by_period(_docs(spark, d).select("lang", "doc_id", period.alias("period")), "lang", "period", ["near_term", "mid_term", "long_term"], "doc_id", page=50)
 
 
 @query("SELECT lang, count(*)::BIGINT AS n, sum((l.toxic IS NULL)::INT)::BIGINT AS missing, sum((l.toxic = (d.doc_id % 2))::INT)::BIGINT AS agree FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id GROUP BY lang")
