@@ -54,3 +54,13 @@ def parsed(x: Column) -> Column:
 
 def literal(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
+
+
+def pooled(vectors: Column, mask: Column) -> Column:
+    """The mean of the vectors (array of arrays) whose mask is 1; zeros where none is. Null vectors or a null mask give null."""
+    v, m = vectors.cast("array<array<double>>"), mask.cast("array<double>")
+    kept = F.zip_with(v, m, lambda x, w: F.transform(x, lambda c: c * w))
+    zero = F.transform(F.get(v, F.lit(0)), lambda c: F.lit(0.0))
+    total = F.aggregate(kept, zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    n = F.greatest(F.aggregate(m, F.lit(0.0), lambda a, x: a + x), F.lit(1e-9))
+    return F.transform(total, lambda x: x / n)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.functions import vector as V
-from docloom.operators import changes, chunking, embedding, evaluation, extract, fulltext, graph, knn, report, retrieval, vector_index
+from docloom.operators import changes, chunk_table, chunking, embedding, evaluation, extract, fulltext, graph, knn, report, retrieval, rounds, vector_index
 from docloom.operators.folders import shared
 from docloom.sources import readers
 from docloom.sources.readers import table
@@ -279,6 +279,13 @@ def quantised_vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", V.quantised(F.col("embedding")).alias("q"))
 
 
+@query("SELECT vec_id, list_transform(range(0, 4), lambda d: round(list_sum(list_transform(list_filter(range(0, 16), lambda i: i % 3 <> 0), lambda i: embedding[i * 4 + d + 1]::DOUBLE)) / 10, 6)) AS pooled FROM embeddings")
+def pooled_vectors(spark, d):
+    places = F.sequence(F.lit(0), F.lit(15))
+    tokens, mask = F.transform(places, lambda i: F.slice("embedding", i * 4 + 1, 4)), F.transform(places, lambda i: (i % 3 != 0).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(V.pooled(tokens, mask), lambda x: F.round(x, 6)).alias("pooled"))
+
+
 @query("SELECT label, dim, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, len(embedding)))::INT AS dim FROM embeddings) GROUP BY label, dim")
 def mean_vectors(spark, d):
     return table(spark, d, "embeddings").select("label", F.posexplode(V.doubles(F.col("embedding"))).alias("dim", "x")).groupBy("label", "dim").agg(F.round(F.avg("x"), 6).alias("mean"))
@@ -395,6 +402,18 @@ def prompt_table_topk(spark, d):
     return knn.nearest(e, e.where("vec_id < 4"), 20, "vec_id", "embedding").select(F.col("source").alias("prompt"), F.col("target").alias("vec_id"), "score", F.col("rank").alias("rn"))
 
 
+#: How many chunks each prompt of the criteria takes: three of 25, one of 10, three periods of 8, a subsection of 10.
+PROMPTS = {0: 25, 1: 25, 2: 25, 3: 10, 4: 8, 5: 8, 6: 8, 7: 10}
+
+
+@query(f"SELECT prompt, vec_id, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY score DESC, vec_id)::INT AS rn FROM (SELECT a.vec_id AS prompt, b.vec_id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) JOIN (VALUES {', '.join(map(str, PROMPTS.items()))}) AS p(prompt, k) USING (prompt) WHERE rn <= k")
+def criterion_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    wanted = spark.createDataFrame(list(PROMPTS.items()), "prompt long, k int")
+    near = knn.nearest(e, e.where(F.col("vec_id").isin(*PROMPTS)), max(PROMPTS.values()), "vec_id", "embedding").withColumnRenamed("source", "prompt")
+    return near.join(F.broadcast(wanted), "prompt").where("rank <= k").select("prompt", F.col("target").alias("vec_id"), "score", F.col("rank").alias("rn"))
+
+
 @query()
 def fuzzy_search(spark, d):
     rows = _docs(spark, d).select("doc_id", "text", F.round(retrieval.token_set_ratio_udf()(F.col("text"), F.lit(QUERY)), 6).alias("score"))
@@ -477,10 +496,16 @@ def simulated_pages(spark, d):
     return chunking.simulated_pages(table(spark, d, "conversations"), "conv_id", "turn", 3).select("conv_id", "turn", "page", "paragraph")
 
 
-@query("SELECT conv_id, list_distinct(list(role))[1] IS NOT NULL AS has_roles, len(list_distinct(list(role)))::INT AS n_roles, first(text ORDER BY turn) AS opening FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, roles, opening FROM (SELECT conv_id, list(role ORDER BY t, role) AS roles FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2) GROUP BY 1) JOIN (SELECT conv_id, first(text ORDER BY turn) FILTER (text <> '') AS opening FROM conversations GROUP BY 1) USING (conv_id)")
 def merged_metadata(spark, d):
     m = chunking.merged_metadata(table(spark, d, "conversations"), "conv_id", "turn", ["role"], ["text"])
-    return m.select("conv_id", (F.size("role") > 0).alias("has_roles"), F.size("role").alias("n_roles"), F.col("text").alias("opening"))
+    return m.select("conv_id", F.col("role").alias("roles"), F.col("text").alias("opening"))
+
+
+@query(_SQL["sentence_chunks"])
+def chunk_table_function(spark, d):
+    lines = _docs(spark, d).where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("element_index", "text"), F.lit("NarrativeText").alias("element_type"), F.lit(1).alias("page_number"))
+    return chunk_table.chunked(lines).select("doc_id", "chunk_index", "content")
 
 
 # -- changes
@@ -844,6 +869,22 @@ def best_chunk_per_question(spark, d):
     return knn.nearest(e, e.where("vec_id % 50 = 0"), 1, "vec_id", "embedding").select(F.col("source").alias("question"), F.col("target").alias("vec_id"), "score")
 
 
+@query(f"""SELECT q.vec_id AS question, m.target::VARCHAR AS answer, m.r AS round, CASE WHEN m.r IS NULL THEN 'unresolved' ELSE 'answered' END AS status FROM embeddings q LEFT JOIN
+(SELECT source, r, min(target::VARCHAR) AS target FROM (SELECT k.source, k.target, ((k.rank - 1) // 5 + 1)::INT AS r, min((k.rank - 1) // 5 + 1) OVER (PARTITION BY k.source) AS f FROM ({_KNN}15) k JOIN embeddings a ON a.vec_id = k.source JOIN embeddings b ON b.vec_id = k.target WHERE a.label = b.label) WHERE r = f GROUP BY 1, 2) m ON m.source = q.vec_id WHERE q.vec_id % 20 = 0""")
+def answer_rounds(spark, d):
+    """A question is answered by a neighbour of its own label: among five at first, then among ten, then fifteen."""
+    e = table(spark, d, "embeddings")
+    labels = e.select(F.col("vec_id").alias("target"), F.col("label").alias("found"))
+
+    def answer(left, r):
+        near = knn.nearest(e, left.join(e, F.col("question") == F.col("vec_id")).select("vec_id", "embedding"), 5 * r, "vec_id", "embedding", least_dims=10)
+        checked = near.join(labels, "target").join(left, F.col("source") == F.col("question"))
+        return checked.select("question", F.col("target").cast("string").alias("answer"), (F.col("label") == F.col("found")).alias("passed"))
+
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), "label")
+    return rounds.in_rounds(asked, "question", answer).select("question", "answer", "round", "status")
+
+
 @query("SELECT conv_id, CASE WHEN bool_or(contains(upper(text), 'NO')) THEN 'NO' WHEN bool_or(contains(upper(text), 'YES')) THEN 'YES' ELSE 'UNCLEAR' END AS verdict, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id")
 def criterion_verdicts(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", X.verdict(F.col("text")).alias("v"))
