@@ -391,3 +391,26 @@ def test_chunks_and_gibberish_by_brute_force(spark):
         parts = [p for c in merged for p in chunking.split_long(c)]
         want |= {(k, i, plain_gibberish(p)) for i, p in enumerate(parts) if plain_gibberish(p) is not None}
     assert {tuple(r) for r in chunking.cleaned_chunks(docs).collect()} == want
+
+
+def test_neighbours_in_parts_against_plain_distances(spark):
+    import numpy as np
+
+    from docloom.operators import knn
+
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(size=(4500, 12)), np.repeat(r.normal(size=(3, 12)), 100, axis=0), np.zeros((5, 12))])
+    ids = r.permutation(len(x))
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<double>")
+    asked = rows.where("id % 7 = 0")
+    # the rows, which come in one part, are dealt out to many queries
+    assert "Repartition" in knn.nearest(rows.coalesce(1), asked, 4, "id", "v")._jdf.queryExecution().optimizedPlan().toString()
+    u = x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-300)
+    for measure in ("cosine", "euclidean"):
+        got = {}
+        for s in knn.nearest(rows, asked, 4, "id", "v", measure, batch=500).orderBy("source", "rank").collect():
+            got.setdefault(s.source, []).append((s.target, round(s.score, 6)))
+        for n in np.flatnonzero(ids % 7 == 0):
+            away = -np.round(u @ u[n], 6) if measure == "cosine" else np.round(np.sqrt(((x - x[n]) ** 2).sum(axis=1)), 6)
+            best = [i for i in np.lexsort((ids, away)) if i != n][:4]
+            assert got[int(ids[n])] == [(int(ids[i]), pytest.approx(abs(away[i]) if measure == "euclidean" else -away[i], abs=1e-6)) for i in best]
