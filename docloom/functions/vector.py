@@ -34,6 +34,12 @@ def unit(a: Column) -> Column:
     return F.when(n == 0, doubles(a)).otherwise(F.transform(doubles(a), lambda x: x / n))
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """Half away from zero, in binary and with the sign of a zero, as SQL engines round doubles (Spark's round() has no negative zero)."""
+    scale = float(10**places)
+    return F.round(F.abs(x) * scale) / scale * F.signum(x)
+
+
 def quantised(a: Column, scale: int = 10_000) -> Column:
     return F.transform(doubles(a), lambda x: (x * scale).cast("bigint"))
 

@@ -167,7 +167,7 @@ def keyword_union(spark, d):
 
 @query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / n, 6)) AS unit FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)")
 def unit_vectors(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.transform(V.unit(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(V.unit(F.col("embedding")), lambda x: V.rounded(x)).alias("unit"))
 
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: trunc(x::DOUBLE * 1000000)::BIGINT) AS vector FROM embeddings")

@@ -414,3 +414,16 @@ def test_neighbours_in_parts_against_plain_distances(spark):
             away = -np.round(u @ u[n], 6) if measure == "cosine" else np.round(np.sqrt(((x - x[n]) ** 2).sum(axis=1)), 6)
             best = [i for i in np.lexsort((ids, away)) if i != n][:4]
             assert got[int(ids[n])] == [(int(ids[i]), pytest.approx(abs(away[i]) if measure == "euclidean" else -away[i], abs=1e-6)) for i in best]
+
+
+@pytest.mark.parametrize("name", ["unit_vectors", "pooled_vectors"])
+def test_rounded_vectors_keep_the_sign_of_zero(spark, tmp_path, name):
+    import duckdb
+
+    rows = [(1, [-1e-9] + [0.5] * 63), (2, [0.5, -1e-9, 0.25, -3e-8] * 16), (3, [1e-9, -0.5] * 32)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {r[0]: [repr(x) for x in r[1]] for r in con.execute(catalog.oracle_sql()[name]).fetchall()}
+    assert {r[0]: [repr(x) for x in r[1]] for r in catalog.queries()[name](spark, str(tmp_path)).collect()} == want
+    assert any("-0.0" in v for v in want.values())
