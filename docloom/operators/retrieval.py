@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
-from docloom.functions.vector import cosine, literal
+from docloom.functions.vector import cosine, literal, rounded
 
 
 def top(df: DataFrame, score: str, key: str, k: int | None) -> DataFrame:
@@ -24,7 +24,7 @@ def top_per_group(df: DataFrame, group: list[str], score: str, key: str, n: int)
 
 
 def similar(df: DataFrame, query: list[float], vector: str = "embedding", into: str = "score") -> DataFrame:
-    return df.withColumn(into, F.round(cosine(F.col(vector), literal(query)), 6))
+    return df.withColumn(into, rounded(cosine(F.col(vector), literal(query))))
 
 
 def vector_topk(df: DataFrame, query: list[float], k: int = 10, least: float = 0.1, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -169,7 +169,7 @@ def expanded(prompt: Column, country: Column, kind: Column, keywords: dict[str,
 def most_similar(vocabulary: DataFrame, asked: list[str], k: int = 5, word: str = "word", vector: str = "vector") -> DataFrame:
     """word, near, score, rank: of each asked word the k nearest others. The asked words, a list of the caller's, are broadcast."""
     own = vocabulary.where(F.col(word).isin(asked)).select(F.col(word).alias("_word"), F.col(vector).alias("_vector"))
-    rows = vocabulary.join(F.broadcast(own), F.col(word) != F.col("_word")).select(F.col("_word").alias("word"), F.col(word).alias("near"), F.round(cosine(F.col("_vector"), F.col(vector)), 6).alias("score"))
+    rows = vocabulary.join(F.broadcast(own), F.col(word) != F.col("_word")).select(F.col("_word").alias("word"), F.col(word).alias("near"), rounded(cosine(F.col("_vector"), F.col(vector))).alias("score"))
     return top_per_group(rows, ["word"], "score", "near", k).withColumnRenamed("rn", "rank")
 
 

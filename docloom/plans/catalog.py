@@ -283,12 +283,12 @@ def quantised_vectors(spark, d):
 def pooled_vectors(spark, d):
     places = F.sequence(F.lit(0), F.lit(15))
     tokens, mask = F.transform(places, lambda i: F.slice("embedding", i * 4 + 1, 4)), F.transform(places, lambda i: (i % 3 != 0).cast("int"))
-    return table(spark, d, "embeddings").select("vec_id", F.transform(V.pooled(tokens, mask), lambda x: F.round(x, 6)).alias("pooled"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(V.pooled(tokens, mask), lambda x: V.rounded(x)).alias("pooled"))
 
 
 @query("SELECT label, dim, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, len(embedding)))::INT AS dim FROM embeddings) GROUP BY label, dim")
 def mean_vectors(spark, d):
-    return table(spark, d, "embeddings").select("label", F.posexplode(V.doubles(F.col("embedding"))).alias("dim", "x")).groupBy("label", "dim").agg(F.round(F.avg("x"), 6).alias("mean"))
+    return table(spark, d, "embeddings").select("label", F.posexplode(V.doubles(F.col("embedding"))).alias("dim", "x")).groupBy("label", "dim").agg(V.rounded(F.avg("x")).alias("mean"))
 
 
 # -- lexical and fused ranking
