@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docloom.functions import text as X
 
@@ -67,14 +69,22 @@ def split_long(chunk: str, most: int = 1000) -> list[str]:
 
 
 def _by_row(df: DataFrame, key: str, source: str, fold) -> DataFrame:
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, chunk_index int, content string"
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType())])
+    return df.select(key, source).mapInArrow(in_slices(lambda k, x: [(k, i, c) for i, c in enumerate(fold(x))], to_arrow_schema(schema)), schema)
+
+
+def in_slices(rows, schema: pa.Schema, size: int = 64):
+    """A function over Arrow batches: rows(key, value) gives a row's results. As Python objects stand only `size` rows and what they give."""
 
     def run(batches):
-        for pdf in batches:
-            rows = [(k, i, c) for k, x in zip(pdf[key], pdf[source], strict=True) for i, c in enumerate(fold(x))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "content"])
+        for b in batches:
+            for lo in range(0, b.num_rows, size):
+                part = b.slice(lo, size)
+                out = [r for k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in rows(k, x)]
+                columns = zip(*out, strict=True) if out else [[] for _ in schema]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return df.select(key, source).mapInPandas(run, schema)
+    return run
 
 
 def sentence_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 512, overlap: int = 2) -> DataFrame:
@@ -95,8 +105,7 @@ def cleaned_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         merged = merge_short(accumulate([("NarrativeText", x) for x in (t or "").split("\n")]))
         return [p for c in merged for p in split_long(c)]
 
-    out = _by_row(docs, key, text, fold)
-    return out.withColumn("content", X.without_gibberish(F.col("content"))).where(F.col("content").isNotNull())
+    return X.gibberish_dropped(_by_row(docs, key, text, fold), "content", "content")
 
 
 def merged_short_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 20) -> DataFrame:
