@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom import lexicons as L
+from docloom.operators.chunking import in_slices
 
 
 def entity_tags(text: Column, sectors: str = L.SECTORS, policy: str = L.POLICY_TYPES, target: str = L.NET_ZERO) -> Column:
@@ -97,11 +98,9 @@ def markdown_lines(html: str | None) -> list[str]:
 def page_markdown(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, line_no, line."""
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([(k, i, x) for k, h in zip(pdf[key], pdf[html], strict=True) for i, x in enumerate(markdown_lines(h))], columns=[key, "line_no", "line"])
-
-    return pages.select(key, html).mapInPandas(run, f"{key} long, line_no int, line string")
+    schema = pa.schema([(key, pa.int64()), ("line_no", pa.int32()), ("line", pa.string())])
+    lines = in_slices(lambda k, h: [(k, i, x) for i, x in enumerate(markdown_lines(h))], schema)
+    return pages.select(F.col(key).cast("long").alias(key), html).mapInArrow(lines, f"{key} long, line_no int, line string")
 
 
 def page_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
