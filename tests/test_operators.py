@@ -427,3 +427,48 @@ def test_rounded_vectors_keep_the_sign_of_zero(spark, tmp_path, name):
     want = {r[0]: [repr(x) for x in r[1]] for r in con.execute(catalog.oracle_sql()[name]).fetchall()}
     assert {r[0]: [repr(x) for x in r[1]] for r in catalog.queries()[name](spark, str(tmp_path)).collect()} == want
     assert any("-0.0" in v for v in want.values())
+
+
+def test_dropped_gibberish_is_cleaned_once(spark):
+    texts = ["short", "a  b c d e f", "ab cd ef", "word " * 9, "(cid:1)(cid:2) ab cd ef gh", "�" * 4 + " with the and more", "zzzzzzzzzzzzzzzzzz ab ab", "12 34 56 78 9", "•|¦ . . . ,,, ok then that", "##########################", "tab\tand\n\nline  end", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    want = {r.id: r.c for r in df.select("id", X.without_gibberish(F.col("t")).alias("c")).collect() if r.c is not None}
+    dropped = X.gibberish_dropped(df, "t", "c").select("id", "c")
+    assert {r.id: r.c for r in dropped.collect()} == want and 0 < len(want) < len(texts)
+    assert "isnotnull(CASE" not in catalog.queries()["gibberish_removed"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grams_stay_where_they_are_read(spark):
+    assert "explode(" not in catalog.queries()["ngrams"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_folds_hold_few_rows_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(10)), pa.array(["x"] * 9 + [None])], names=["k", "v"])
+    schema = pa.schema([("k", pa.int64()), ("i", pa.int32()), ("v", pa.string())])
+    out = list(chunking.in_slices(lambda k, v: [(k, i, v) for i in range(k % 3)], schema, 4)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 4 and len(out) == 3
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(k, i, None if k == 9 else "x") for k in range(10) for i in range(k % 3)]
+
+
+def test_ratios_by_bounds_are_difflibs(monkeypatch):
+    import random
+
+    random.seed(3)
+    plain, made = difflib.SequenceMatcher, []
+    word = lambda: "".join(random.choices("abtheinwd", k=random.randint(1, 7)))
+    pairs = [("with the and", " ".join(word() for _ in range(3))) for _ in range(300)]
+    texts = [" ".join(random.choices(["the", "and", "from", "ouen", *(word() for _ in range(80))], k=random.choice([1, 5, 300]))) for _ in range(60)]
+
+    def whole(a, b):
+        x, y = set(a.split()), set(b.split())
+        both = " ".join(sorted(x & y))
+        left, right = (" ".join(filter(None, (both, " ".join(sorted(z))))) for z in (x - y, y - x))
+        return 1.0 if both and (x <= y or y <= x) else max(plain(None, p, q).ratio() for p, q in ((both, left), (both, right), (left, right)))
+
+    want = [r if (r := plain(None, x, y).ratio()) >= 0.6 else 0.0 for x, y in pairs], [whole(t, catalog.QUERY) for t in texts]
+    monkeypatch.setattr(difflib, "SequenceMatcher", lambda *a: made.append(1) or plain(*a))
+    assert [retrieval.ratio_of(x, y, 0.6) for x, y in pairs] == want[0] and len(made) < 250
+    del made[:]
+    assert [retrieval.token_set_ratio(t, catalog.QUERY) for t in texts] == want[1] and len(made) < 150
