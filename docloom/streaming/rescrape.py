@@ -94,14 +94,18 @@ def run(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str) -> No
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
-def replay(df: DataFrame, ts: str, folder: str, pieces: int = 2) -> DataFrame:
-    """A table as a stream of files, one a trigger, in the order of time."""
+def replay(df: DataFrame, ts: str, folder: str, pieces: int = 2, rows_per_file: int = 10_000) -> DataFrame:
+    """A table as a stream of pieces, one a trigger, in the order of time. Pieces have equally many files, as many as the smallest fills (the last
+    piece's may be fewer), at most as many as there are cores, so that none is one task's."""
     spark = df.sparkSession
     moment = F.unix_micros(F.col(ts).cast("timestamp"))
     low, high = df.agg(F.min(moment), F.max(moment)).first()
-    for i in range(pieces):  # a handful of triggers
-        cut = (low or 0) + ((high or 0) - (low or 0)) * (i + 1) // pieces
-        below = (low or 0) + ((high or 0) - (low or 0)) * i // pieces
-        part = moment.isNull() | (moment <= cut) if i == 0 else (moment > below) & (moment <= cut)
-        df.where(part).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    low, high = low or 0, high or 0
+    cuts = [low + (high - low) * i // pieces for i in range(pieces + 1)]
+    parts = [moment.isNull() | (moment <= cuts[1]), *((moment > a) & (moment <= b) for a, b in zip(cuts[1:-1], cuts[2:], strict=True))]  # a handful of triggers
+    sizes = df.agg(*[F.coalesce(F.sum(p.cast("int")), F.lit(0)) for p in parts]).first()
+    files = max(1, min(min(sizes) // rows_per_file, spark.sparkContext.defaultParallelism))
+    for part in parts:
+        held = df.where(part)
+        (held.repartition(files) if files > 1 else held.coalesce(1)).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)

@@ -43,3 +43,16 @@ def test_restarts_late_rows_and_removals(spark, tmp_path):
     write(spark, [("a", "3", 230), ("e", "1", 400)], f"{folder}/in")
     third = [*second, ("a", 230, "new", "3", 1, 230), ("e", 400, "new", "1", 1, 400), ("a", 230, "removed", "3", 1, 230), ("b", 200, "removed", "x", 1, 200)]
     assert go(spark, folder) == tidy(third)
+
+
+def test_replay_deals_a_piece_over_tasks(spark, tmp_path):
+    import glob
+
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1000).select(F.timestamp_seconds(F.col("id") * 60).alias("ts"), "id")
+    stream = rescrape.replay(rows, "ts", f"{tmp_path}/in", rows_per_file=100)
+    files = sorted(glob.glob(f"{tmp_path}/in/*.parquet"), key=lambda p: spark.read.parquet(p).agg(F.min("id")).first()[0])
+    assert len(files) == 2 * min(4, spark.sparkContext.defaultParallelism)
+    first = {r.id for p in files[: len(files) // 2] for r in spark.read.parquet(p).collect()}
+    assert max(first) < 500 and len(first) == 500 and stream.isStreaming
