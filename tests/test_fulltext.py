@@ -64,3 +64,16 @@ def test_postings_by_sql(spark, tmp_path):
     assert [x[0] for x in both] == [1, 5, 8] and {x.id for x in found} <= {1, 5, 8} and len(found) == 2
     assert con.execute(f"SELECT positions FROM {files} WHERE id = 5 AND stem = 'licens'").fetchall() == [([1, 7, 8],)]
     assert {x.id: x["rank"] for x in fulltext.search(index, "absent works", "id", match="any").collect()} == {1: 2.0, 2: 1.0, 5: 2.0, 7: 1.0, 8: 20.0}
+
+
+def test_postings_are_dealt_once(spark, tmp_path, monkeypatch):
+    """The words of a text meet where it is read: on the way to the table there is one exchange."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans = []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, **k: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, path, **k))[1])
+    rows = [(1, "Licences of one version, and licences"), (1, "versions"), (2, None), (3, "the of"), (4, "licence")]
+    index = fulltext.stored(spark.createDataFrame(rows, "id long, text string"), "id", "text", f"file://{tmp_path}/once")
+    assert {(r.id, r.stem): r.positions for r in index.collect()} == {(1, "licenc"): [0, 5], (1, "one"): [2], (1, "version"): [0, 3], (4, "licenc"): [0]}
+    assert [p.count("Exchange ") for p in plans] == [1]
