@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from docloom.functions import text as X
+from docloom.sources.readers import dealt
 
 HEADINGS = ("Title", "Heading", "Header", "SubHeading")
 _END = re.compile(r"([.!?])\s+")
@@ -105,7 +106,7 @@ def cleaned_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         merged = merge_short(accumulate([("NarrativeText", x) for x in (t or "").split("\n")]))
         return [p for c in merged for p in split_long(c)]
 
-    return X.gibberish_dropped(_by_row(docs, key, text, fold), "content", "content")
+    return X.gibberish_dropped(_by_row(dealt(docs.select(key, text), key), key, text, fold), "content", "content")
 
 
 def merged_short_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 20) -> DataFrame:

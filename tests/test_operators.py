@@ -472,3 +472,9 @@ def test_ratios_by_bounds_are_difflibs(monkeypatch):
     assert [retrieval.ratio_of(x, y, 0.6) for x, y in pairs] == want[0] and len(made) < 250
     del made[:]
     assert [retrieval.token_set_ratio(t, catalog.QUERY) for t in texts] == want[1] and len(made) < 150
+
+
+def test_one_row_group_is_chunked_by_many_tasks(spark):
+    docs = spark.createDataFrame([(n, f"This is sentence number {n} of them. It is followed by another one.") for n in range(200)], "doc_id long, text string").coalesce(1)
+    got = chunking.cleaned_chunks(docs)
+    assert got.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and got.count() == 200
